@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsbags.llm import chat, mixing, rendezvous, secret_scan
+from tsbags.llm import chaining, chat, covertree, language, mixing, pii, rendezvous, secret_scan, simhash, winnowing
 from tsbags.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: A language is accepted if the next one needs over this share more bytes.
+MARGIN = 0.0
+
+
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +38,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(pii.joined("base_spans").cast("binary"), 256)
+    return found.select(
+        "doc_id", *[pii.count("base_spans", k).alias(f"n_{k}") for k in pii.KINDS], base.alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
+
+
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 SHARDS = [1.0] * 24
 
 
@@ -46,6 +72,22 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    model = language.train(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, margin=MARGIN)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query
+def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = covertree.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return covertree.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
+
+
 MIX = {"power": 0.5, "seed": "mix-1"}
 
 
@@ -55,6 +97,12 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, **MIX).withColumn("rate", F.round("rate", 6))
 
 
+@query
+def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
