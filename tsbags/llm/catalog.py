@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsbags.llm import chaining, chat, covertree, language, mixing, pii, rendezvous, secret_scan, simhash, winnowing
+from tsbags.llm import chaining, chat, covertree, language, mixing, oracle, pii, rendezvous, secret_scan, simhash, winnowing
 from tsbags.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     return chat.digest(chat.render(rows.union(extra)))
+
+
+ORACLE_SQL |= {
+    "op5_rendezvous_sharding": oracle.OP5,
+    "op7_cover_tree_top_k": oracle.OP7,
+    "op8_poisson_mix": oracle.OP8,
+    "op9_winnowing_decontamination": oracle.OP9,
+    "op10_chat_format": oracle.OP10,
+}
