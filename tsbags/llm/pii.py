@@ -75,11 +75,13 @@ _ODD = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏‐-―․⁠①-⓿﹐-
 # Spelled digits.
 _SPELLED = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789", strict=True))
 _NAME = "|".join(_SPELLED)
-_RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]+)?(?:(?:{_NAME}|[0-9])[ ,-]{{0,2}})*(?:{_NAME})(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9]))+(?![a-z0-9])")
+_RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]+)?(?:(?:{_NAME}|[0-9])[ ,-]{{0,2}})*(?:{_NAME})(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9]))+(?![a-z0-9])"
+                  rf"|(?<=dot )(?:{_NAME})(?![a-z0-9])|(?<![a-z0-9])(?:{_NAME})(?= dot )")
 _ONE = re.compile(rf"plus[ -]+|{_NAME}|,? |, ?")
 # Disguises of '@' and '.'.
 _OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT_MARK, _DOT_MARK = rf"{_OPEN}(?:at|@){_SHUT}", rf"{_OPEN}(?:dot|punto|punkt|point|\.){_SHUT}"
+_AT_MARK = rf"{_OPEN}(?:at|@){_SHUT}|&#0*64;|&commat;|%40"
+_DOT_MARK = rf"{_OPEN}(?:dot|punto|punkt|point|\.){_SHUT}|&#0*46;|&period;"
 _AT_WORD, _DOT_WORD = r"[ \t]+at[ \t]+", r"[ \t]+(?:dot|punto|punkt)[ \t]+"
 _DOT = rf"(?:{_DOT_MARK}|{_DOT_WORD})"
 _ANY_AT, _ANY_DOT = re.compile(rf"(?i){_AT_MARK}|{_AT_WORD}|[ \t]*@[ \t]*"), re.compile(rf"(?i){_DOT}")
@@ -91,7 +93,7 @@ _EMAIL = re.compile(
     rf"|@{_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+|(?:{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})*?{_DOT}(?:{_TOP})(?![a-z0-9-]))"
 )
 _NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
-_HINT = re.compile(r"(?i)dot|punto|punkt|[\[({<][ \t]*(?:at|@|\.|point)[ \t]*[\])}>]")
+_HINT = re.compile(r"(?i)dot|punto|punkt|[\[({<][ \t]*(?:at|@|\.|point)[ \t]*[\])}>]|&#0*[46][46];|&commat;|&period;|%40")
 
 
 class Tracked:
@@ -142,9 +144,9 @@ def _spelled(t: Tracked) -> None:
         return
     spans = []
     for run in _RUN.finditer(low):
-        if sum(m[0] in _SPELLED for m in _ONE.finditer(run[0])) >= 3:
+        if run[0] in _SPELLED or sum(m[0] in _SPELLED for m in _ONE.finditer(run[0])) >= 2:
             for m in _ONE.finditer(run[0]):
-                new = "+" if m[0].startswith("plus") else _SPELLED.get(m[0], " ")
+                new = "+" if m[0].startswith("plus") else _SPELLED.get(m[0], "")
                 if new != m[0]:
                     spans.append((run.start() + m.start(), run.start() + m.end(), new))
     t.rewrite(spans)
