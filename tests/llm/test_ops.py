@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tsbags.llm import components as connected
 from tsbags.llm import (
     catalog, chaining, chat, covertree, language, mixing, pii, rendezvous, secret_scan, simhash, winnowing,
 )
@@ -102,6 +103,9 @@ def test_op2_base_spans(docs, awkward):
     ("call plus four nine three zero one two three four five six", "phone", "plus four nine three zero one two three four five six"),
     ("ip 10 dot 20 dot 30 dot 40 end", "ip", "10 dot 20 dot 30 dot 40"),
     ("card ４１１１ １１１１ １１１１ １１１１ ok", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ("it is two one three dot one seven four dot two two dot one zero three ok", "ip", "two one three dot one seven four dot two two dot one zero three"),
+    ("to amy&#64;web&period;org or", "email", "amy&#64;web&period;org"),
+    ("pay four one one one, one one one one, one one one one, one one one one now", "card", "four one one one, one one one one, one one one one, one one one one"),
     ("joe(at)host(dot)net", "email", "joe(at)host(dot)net"),
 ])
 def test_op2_disguises_map_back(text, kind, part):
@@ -145,6 +149,7 @@ def test_op3_hot_blocks_are_exact(spark, blocks, monkeypatch):
     prints = sorted(prints)
     monkeypatch.setattr(simhash, "PART", 64)
     monkeypatch.setattr(simhash, "SMALL", 8)
+    monkeypatch.setattr(connected, "TASK_EDGES", 0 if blocks == 6 else 1000)
     signed = [(p - 2**64 if p >> 63 else p) for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fingerprint long")
     edges = simhash.close_links(df, blocks=blocks)
@@ -280,8 +285,8 @@ def test_op7_ties_nulls_and_parts(spark, monkeypatch):
 
 def test_op7_prunes_clustered_vectors():
     rng = np.random.default_rng(4)
-    centers = rng.integers(-200, 200, (40, 8))
-    x = np.concatenate([c + rng.integers(-2, 3, (200, 8)) for c in centers]).astype(float)
+    centers = rng.integers(-200, 200, (40, 4))
+    x = np.concatenate([c + rng.integers(-2, 3, (500, 4)) for c in centers]).astype(float)
     q = x[::50]
     ids = np.arange(len(x))
     scores, found, met = covertree.dual_search(q, ids[::50], np.full(len(q), covertree.LOWEST), x, ids, 5)
