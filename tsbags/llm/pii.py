@@ -77,6 +77,7 @@ _SPELLED = dict(zip("zero one two three four five six seven eight nine".split(),
 _NAME = "|".join(_SPELLED)
 _RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]+)?(?:(?:{_NAME}|[0-9])[ ,-]{{0,2}})*(?:{_NAME})(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9]))+(?![a-z0-9])"
                   rf"|(?<=dot )(?:{_NAME})(?![a-z0-9])|(?<![a-z0-9])(?:{_NAME})(?= dot )")
+_TWO = re.compile(rf"(?:{_NAME})[ ,-]{{1,2}}(?:{_NAME}|[0-9])|dot (?:{_NAME})|(?:{_NAME}) dot ")  # what every run holds
 _ONE = re.compile(rf"plus[ -]+|{_NAME}|,? |, ?")
 # Disguises of '@' and '.'.
 _OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
@@ -93,7 +94,7 @@ _EMAIL = re.compile(
     rf"|@{_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+|(?:{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})*?{_DOT}(?:{_TOP})(?![a-z0-9-]))"
 )
 _NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
-_HINT = re.compile(r"(?i)dot|punto|punkt|[\[({<][ \t]*(?:at|@|\.|point)[ \t]*[\])}>]|&#0*[46][46];|&commat;|&period;|%40")
+_HINT = re.compile(r"dot|punto|punkt|[\[({<][ \t]*(?:at|@|\.|point)[ \t]*[\])}>]|&#0*[46][46];|&commat;|&period;|%40")
 
 
 class Tracked:
@@ -140,7 +141,7 @@ def _spelled(t: Tracked) -> None:
     low = t.text.lower()
     if len(low) != len(t.text):  # a letter whose lower form is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in t.text)
-    if not any(w in low for w in _SPELLED):
+    if not _TWO.search(low):
         return
     spans = []
     for run in _RUN.finditer(low):
@@ -153,7 +154,7 @@ def _spelled(t: Tracked) -> None:
 
 
 def _at_and_dot(t: Tracked) -> None:
-    if not _HINT.search(t.text):
+    if not _HINT.search(t.text.lower()):
         return
     for whole in (_EMAIL, _NUMBERS):
         spans = []
