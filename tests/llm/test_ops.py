@@ -192,6 +192,24 @@ def test_op4_finds_planted_passages(spark):
     assert {r.class_id for r in got} == {1, 4, 7}
 
 
+def test_op4_hot_seeds_stay_connected(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = passage(rng, 60)
+    rows = [(i, " ".join(passage(rng, 20) + shared + passage(rng, 20))) for i in range(60)] + [(100 + i, " ".join(passage(rng, 80))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = chaining.passages(df).collect()
+    monkeypatch.setattr(chaining, "HOT_DOCS", 5)
+    monkeypatch.setattr(chaining, "HOT_ROWS", 5)
+    monkeypatch.setattr(chaining, "SPLITS", 7)
+    assert chaining.hot_seeds(df, "doc_id", "text").filter("size(splits) > 1").count() > 3
+    split = chaining.passages(df).collect()
+    for got in (plain, split):
+        assert {r.class_id for r in got} == {0}
+        assert {r.doc_id for r in got} | {r.partner_id for r in got} == set(range(60))
+    pairs = [{(r.partner_id, r.doc_id) for r in got} for got in (plain, split)]
+    assert {(i, i + 1) for i in range(59)} <= pairs[1] <= pairs[0]
+
+
 def test_op4_chains_equal_the_square_method():
     rng = np.random.default_rng(2)
     for _ in range(30):
