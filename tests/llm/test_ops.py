@@ -229,6 +229,14 @@ def test_op4_chains_equal_the_square_method():
             assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:], strict=False))
 
 
+def test_op4_repetitions_are_thinned(spark):
+    data = [(1, "ab cd " * 3_000), (2, "ab cd " * 2_000), (3, "x " * 5_000), (4, "x " * 40)]
+    got = chaining.seeds(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text").groupBy("doc").count().collect()
+    assert all(r["count"] <= 1_000 for r in got)
+    found = chaining.passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.partner_id, r.doc_id) for r in found} == {(1, 2)}
+
+
 def test_op4_nothing(spark):
     assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
