@@ -237,6 +237,19 @@ def test_op4_repetitions_are_thinned(spark):
     assert {(r.partner_id, r.doc_id) for r in found} == {(1, 2)}
 
 
+def test_op4_finds_fuzzy_passages_near_the_threshold(spark):
+    rng, rows = random.Random(8), []
+    for i in range(100):
+        whole = passage(rng, 50)
+        changed = whole[:]
+        for j in rng.sample(range(1, 49), 9):  # identity 0.82
+            changed[j] = f"other{i}x{j}"
+        rows += [(2 * i, " ".join(passage(rng, 30) + whole + passage(rng, 30))), (2 * i + 1, " ".join(passage(rng, 10) + changed + passage(rng, 40)))]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.partner_id + 1 == r.doc_id and r.identity >= 0.8 and r.end - r.start >= 50 for r in got)
+    assert len({r.doc_id for r in got}) >= 97
+
+
 def test_op4_nothing(spark):
     assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
