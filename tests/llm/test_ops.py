@@ -322,6 +322,19 @@ def test_op7_ties_nulls_and_parts(spark, monkeypatch):
     assert [tuple(r) for r in covertree.top_k(few, few.filter("id = 0")).collect()] == [(0, 1, 1, 128 * 256)]
 
 
+def test_op7_keeps_ties_of_negative_scores():
+    points, ids = np.tile([-256.0, 0.0], (10, 1)), np.arange(10)
+    scores, found, _ = covertree.dual_search(np.array([[256.0, 0.0]]), np.array([99]), np.array([-65536]), points, ids, 5)
+    assert scores.tolist() == [[-65536] * 5] and found.tolist() == [[0, 1, 2, 3, 4]]
+
+
+def test_op7_top_k_of_opposite_copies(spark):
+    vs = [(0, [256, 0])] + [(i, [-256, 0]) for i in range(1, 9)]
+    df = spark.createDataFrame(vs, "id long, v array<long>")
+    got = covertree.top_k(df, df.filter("id = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == [(0, i, i, -65536) for i in range(1, 6)]
+
+
 def test_op7_prunes_clustered_vectors():
     rng = np.random.default_rng(4)
     centers = rng.integers(-200, 200, (40, 4))
