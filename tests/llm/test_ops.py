@@ -290,6 +290,20 @@ def test_op6_held_out_accuracy(spark, docs, awkward):
     assert {r.lang_pred for r in language.identify(awkward, {}).collect()} == {"und"}
 
 
+def test_op6_rejects_foreign_and_mixed_texts(spark):
+    data = [
+        (1, "Ala ma kota a kot ma ale i nikt nie wie dlaczego tak jest bo przeciez wszystko jest mozliwe w tym kraju nad Wisla gdzie zawsze pada deszcz"),
+        (2, "qzx vvkt pplw zzrq mmnb xxcv lkjh wqpo zmxn cbvt yrue iwoq palz mskd jfhg tyru eiwo qpal skdj fhgm znxb cvqw"),
+        (3, "The committee agreed that the report should be published next week. Der Ausschuss hat beschlossen, dass der Bericht in der nächsten Woche veröffentlicht wird."),
+    ]
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    model = language.train(docs.filter("doc_id % 4 <> 0"))
+    odd = language.identify(spark.createDataFrame(data, "doc_id long, text string"), model, margin=catalog.MARGIN).collect()
+    assert [r.doc_id for r in odd if r.accepted] == []
+    held = language.identify(docs.filter("doc_id % 4 = 0 and length(text) > 100"), model, margin=catalog.MARGIN).collect()
+    assert sum(r.accepted and r.lang_pred == r.lang for r in held) >= 0.99 * len(held)
+
+
 def top(queries, vectors, k=5):
     out = []
     for qid, q in queries:
