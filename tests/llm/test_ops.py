@@ -184,14 +184,104 @@ def test_op4_finds_planted_passages(spark):
     data = [(i, " ".join(ws)) for i, ws in rows.items()] + [(8, None), (None, "x"), (9, ""), (11, " ".join(rows[7])), (12, " ".join(rows[7]))]
     got = chaining.passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
     pairs = {(r.partner_id, r.doc_id): r for r in got}
-    assert {(1, 2), (2, 10), (4, 5), (7, 11), (7, 12), (11, 12)} <= set(pairs)
+    assert {(4, 5), (7, 11), (7, 12)} <= set(pairs)
     assert {i for p in pairs for i in p} == {1, 2, 10, 4, 5, 6, 7, 11, 12}
-    r = pairs[1, 2]
-    assert (r.partner_start, r.partner_end, r.start, r.end, r.identity) == (100, 160, 7, 67, 1.0)
+    places = {1: (100, 160), 2: (7, 67), 10: (0, 60)}
+    for (a, b), r in pairs.items():
+        if a in places:
+            assert ((r.partner_start, r.partner_end), (r.start, r.end), r.identity) == (places[a], places[b], 1.0)
     assert pairs[7, 11].end - pairs[7, 11].start == 400
     assert {r.class_id for r in got} == {1, 4, 7}
 
 
+def test_op4_part_holders_part_no_whole_holders(spark):
+    rng = random.Random(11)
+    shared = passage(rng, 60)
+    rows = [(1, passage(rng, 30) + shared + passage(rng, 20))]
+    rows += [(i, passage(rng, 30) + shared[(i - 2) // 2 * 20 :][:20] + passage(rng, 25)) for i in range(2, 8)]
+    rows += [(8, passage(rng, 10) + shared + passage(rng, 40))]
+    got = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(r.partner_id, r.doc_id, r.start, r.end, r.partner_start, r.partner_end) for r in got] == [(1, 8, 10, 70, 30, 90)]
+
+
+def exact_repeats(rows, got, least=50):
+    """Every exact repeat of `least` words across texts is inside passages, and all its holders are in one class."""
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for i, t in rows}
+    windows, label, inside = {}, {}, {i: np.zeros(len(ws) + 1, int) for i, ws in split.items()}
+    for i, ws in split.items():
+        for j in range(len(ws) - least + 1):
+            windows.setdefault(tuple(ws[j : j + least]), []).append((i, j))
+    for r in got:
+        label[r.doc_id] = label[r.partner_id] = r.class_id
+        for i, a, b in ((r.doc_id, r.start, r.end), (r.partner_id, r.partner_start, r.partner_end)):
+            assert 0 <= a and a + least <= b <= len(split[i])
+            inside[i][a:b] = 1
+    repeated = [at for at in windows.values() if len({i for i, _ in at}) > 1]
+    for at in repeated:
+        assert len({label[i] for i, _ in at}) == 1
+        assert all(inside[i][j : j + least].all() for i, j in at), at
+    return len(repeated)
+
+
+def test_op4_query_finds_all_exact_repeats(spark, docs):
+    got = catalog.QUERIES["op4_collinear_chaining"](spark, SF).collect()
+    assert exact_repeats(texts(docs), got) > 500
+    split = {i: (t or "").lower().split() for i, t in texts(docs)}
+    for r in got:  # what is reported is as alike as said, but for words whose bytes are equal by chance
+        a, b = split[r.doc_id][r.start : r.end], split[r.partner_id][r.partner_start : r.partner_end]
+        number = {w: k for k, w in enumerate({*a, *b})}
+        row = np.zeros(len(b) + 1, int)
+        codes = np.array([number[w] for w in b])
+        for w in a:
+            row = np.maximum.accumulate(np.maximum(row, np.r_[0, row[:-1] + (codes == number[w])]))
+        assert row[-1] / max(len(a), len(b)) >= 0.78
+
+
+def test_op4_exact_repeats_in_repetitive_texts(spark):
+    rng = random.Random(12)
+    few = ["aa", "bb", "cc"]
+    whole = passage(rng, 70)
+    rows = [
+        (1, ["aa", "bb"] * 400), (2, ["aa", "bb"] * 90), (3, ["x"] * 300), (4, ["x"] * 101), (5, ["x"] * 55 + passage(rng, 30)),
+        (6, [rng.choice(few) for _ in range(300)] * 2), (7, whole + passage(rng, 20) + whole), (8, passage(rng, 9) + whole),
+        (9, whole[:55] + passage(rng, 9) + whole[10:]), (10, ["bb", "aa"] * 60 + whole),
+    ]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    rows += [(20 + i, " ".join(few * 20 + [rng.choice(few) for _ in range(200)])) for i in range(6)]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert exact_repeats(rows, got) > 25
+    assert len(got) < 1_000
+
+
+def test_op4_ids_of_any_type_and_repeated_ids(spark):
+    rng = random.Random(13)
+    one, two, three = (" ".join(passage(rng, 60)) for _ in range(3))
+    data = [("a", one, 1, 2), ("b", one, 1, 2), ("b", one, 1, 2), ("b", two, None, 2), ("c", two + " end", 1, 2), (None, two, 1, 2), ("d", three, 1, 2)]
+    got = chaining.passages(spark.createDataFrame(data, "doc_id string, text string, start int, class_id long")).collect()
+    assert sorted((r.partner_id, r.doc_id, r.start, r.end, r.class_id) for r in got) == [("a", "b", 0, 60, "a"), ("b", "c", 0, 60, "b")]
+
+
+def test_op4_neighbours_in_blocks(spark, monkeypatch):
+    rng = random.Random(14)
+    shared = passage(rng, 60)
+    rows = [(i, " ".join(passage(rng, 20) + [w if rng.random() > 0.06 else f"o{i}x{j}" for j, w in enumerate(shared)] + passage(rng, 20))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (200_000, 40):
+        monkeypatch.setattr(chaining, "BLOCK", block)
+        got = chaining.passages(df).collect()
+        assert {r.class_id for r in got} == {0}
+        assert {r.doc_id for r in got} | {r.partner_id for r in got} == set(range(90))
+
+
+def test_op4_neighbours_grow_with_the_rows():
+    rng = np.random.default_rng(3)
+    for n in (500, 5_000):
+        seed, doc = np.zeros(n, np.int64), rng.permutation(n)
+        ctx = np.sort(rng.integers(0, 3, (n, 8)).astype(np.uint8).view(">i8").ravel().astype(np.int64))
+        i, j = chaining.neighbours(seed, ctx, doc, 0)
+        assert n <= len(i) <= n * (2 * chaining.NEAR + chaining.REPRESENTATIVES + 1)
+
+
 def test_op4_hot_seeds_stay_connected(spark, monkeypatch):
     rng = random.Random(6)
     shared = passage(rng, 60)
@@ -201,13 +291,12 @@ def test_op4_hot_seeds_stay_connected(spark, monkeypatch):
     monkeypatch.setattr(chaining, "HOT_DOCS", 5)
     monkeypatch.setattr(chaining, "HOT_ROWS", 5)
     monkeypatch.setattr(chaining, "SPLITS", 7)
-    assert chaining.hot_seeds(df, "doc_id", "text").filter("size(splits) > 1").count() > 3
+    assert chaining.hot_seeds(df, "doc_id", "text", 80).filter("size(splits) > 1").count() > 3
     split = chaining.passages(df).collect()
     for got in (plain, split):
         assert {r.class_id for r in got} == {0}
         assert {r.doc_id for r in got} | {r.partner_id for r in got} == set(range(60))
-    pairs = [{(r.partner_id, r.doc_id) for r in got} for got in (plain, split)]
-    assert {(i, i + 1) for i in range(59)} <= pairs[1] <= pairs[0]
+        assert len(got) < 60 * 59 / 2
 
 
 def test_op4_chains_equal_the_square_method():
@@ -237,13 +326,17 @@ def test_op4_repetitions_are_thinned(spark):
     assert {(r.partner_id, r.doc_id) for r in found} == {(1, 2)}
 
 
-def test_op4_finds_fuzzy_passages_near_the_threshold(spark):
+@pytest.mark.parametrize("put_in", [0, 3])
+def test_op4_finds_fuzzy_passages_near_the_threshold(spark, put_in):
     rng, rows = random.Random(8), []
     for i in range(100):
         whole = passage(rng, 50)
         changed = whole[:]
-        for j in rng.sample(range(1, 49), 9):  # identity 0.82
-            changed[j] = f"other{i}x{j}"
+        for n, j in enumerate(sorted(rng.sample(range(1, 49), 9), reverse=True)):  # identity about 0.82
+            if n < put_in:
+                changed.insert(j, f"new{i}x{j}")
+            else:
+                changed[j] = f"other{i}x{j}"
         rows += [(2 * i, " ".join(passage(rng, 30) + whole + passage(rng, 30))), (2 * i + 1, " ".join(passage(rng, 10) + changed + passage(rng, 40)))]
     got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.partner_id + 1 == r.doc_id and r.identity >= 0.8 and r.end - r.start >= 50 for r in got)

@@ -126,6 +126,54 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each run of `lengths` words from `starts`; equal runs have equal hashes wherever they stand."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _powers(len(hashes), _M), out=sums[1:])
+    return mixed((sums[starts + lengths] - sums[starts]) * _powers(len(hashes), _INVERSE)[starts] + lengths.astype(np.uint64))
+
+
+def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of every w consecutive values, by doubling."""
+    n, size = len(values) - w + 1, 1
+    if n <= 0:
+        return values[:0]
+    while size * 2 <= w:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[:n], values[w - size : w - size + n])
+
+
+def anchored(words: Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of `span`-word windows of one text that share their anchor: the last of their grams with the least hash.
+
+    Returns the anchor's hash, the first window's start, the words that the run's windows span, and their hash. An
+    anchor depends on nothing but the words of its window, so equal windows have equal anchors at equal places.
+    """
+    n = len(words.hashes) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    out = np.full(len(words.hashes) - gram + 1, np.uint64(gram), dtype=np.uint64)
+    for t in range(gram):
+        out = out * _M + words.hashes[t : t + len(out)]
+    out = mixed(out)
+    low = np.uint64((1 << 24) - 1)
+    packed = (out & ~low) | (low - (np.arange(len(out), dtype=np.uint64) & low))  # of equal hashes the last one is least
+    least = sliding_least(packed, span - gram + 1)
+    starts = np.flatnonzero(words.rows[:n] == words.rows[span - 1 :])
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts, np.zeros(0, np.uint64)
+    here = least[starts]
+    new = np.r_[True, (here[1:] != here[:-1]) | (np.diff(starts) > 1) | (words.rows[starts[1:]] != words.rows[starts[:-1]])]
+    first = np.flatnonzero(new)
+    lo, lengths = starts[first], np.diff(np.r_[first, len(starts)]) + span - 1
+    at = (low - (here[first] & low) - lo.astype(np.uint64)) & low  # from the first window's start
+    marks = mixed(range_hashes(words.hashes, lo, lengths) + at)
+    return here[first] & ~low, lo, lengths, marks
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes together; nulls in the column become ''."""
     i = batch.schema.get_field_index(column)
