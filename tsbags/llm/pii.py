@@ -7,13 +7,15 @@ Texts that hold nothing to rewrite skip the transducers.
 
 Defined cases: a null text is empty; a text without finds has empty span lists; repeated rows are each reported;
 clashing input columns are replaced. Offsets are code points, the end is exclusive. Every pattern is applied in time
-linear in the text, so very long texts are no special case.
+linear in the text, so very long texts are no special case: runs are taken possessively, blanks only from where they
+begin, and disguised addresses are built outwards from their '@'.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,11 +56,17 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) < 4 and int(value or "0") <= 255
+
+
 def plain(text: str) -> list[Span]:
     """The finds of the fixed patterns, by kind, then start."""
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, *m.span()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16 and 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
                 found.append((2, *m.span()))
@@ -75,24 +83,31 @@ _ODD = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏‐-―․⁠①-⓿﹐-
 # Spelled digits.
 _SPELLED = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789", strict=True))
 _NAME = "|".join(_SPELLED)
-_RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]+)?(?:(?:{_NAME}|[0-9])[ ,-]{{0,2}})*(?:{_NAME})(?:[ ,-]{{1,2}}(?:{_NAME}|[0-9]))+(?![a-z0-9])"
-                  rf"|(?<=dot )(?:{_NAME})(?![a-z0-9])|(?<![a-z0-9])(?:{_NAME})(?= dot )")
-_TWO = re.compile(rf"(?:{_NAME})[ ,-]{{1,2}}(?:{_NAME}|[0-9])|dot (?:{_NAME})|(?:{_NAME}) dot ")  # what every run holds
+_ITEM = rf"(?:{_NAME}|[0-9])"
+_RUN = re.compile(rf"(?<![a-z0-9])(?:plus[ -]++)?+(?:{_ITEM}[ ,-]{{0,2}})++")
+_BY_DOT = re.compile(rf"(?<=dot )(?:{_NAME})(?![a-z0-9])|(?<![a-z0-9])(?:{_NAME})(?= dot )")
+_TWO = re.compile(rf"(?:{_NAME})[ ,-]{{1,2}}{_ITEM}|dot (?:{_NAME})|(?:{_NAME}) dot ")  # what every run holds
+_LAST = re.compile(rf"(?:plus[ -]+|{_ITEM})")
 _ONE = re.compile(rf"plus[ -]+|{_NAME}|,? |, ?")
 # Disguises of '@' and '.'.
-_OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT_MARK = rf"{_OPEN}(?:at|@){_SHUT}|&#0*64;|&commat;|%40"
-_DOT_MARK = rf"{_OPEN}(?:dot|punto|punkt|point|\.){_SHUT}|&#0*46;|&period;"
-_AT_WORD, _DOT_WORD = r"[ \t]+at[ \t]+", r"[ \t]+(?:dot|punto|punkt)[ \t]+"
+# Blanks are taken from where they begin only, so that a long run of them isn't tried from each of its characters.
+_GAP = r"(?<![ \t])[ \t]"
+_OPEN, _SHUT = rf"(?:{_GAP}++)?+[\[({{<][ \t]*+", r"[ \t]*+[\])}>][ \t]*+"
+_AT_MARK = rf"{_OPEN}(?:at|@){_SHUT}|&#0{{0,8}}64;|&commat;|%40"
+_DOT_MARK = rf"{_OPEN}(?:dot|punto|punkt|point|\.){_SHUT}|&#0{{0,8}}46;|&period;"
+_AT_WORD, _DOT_WORD = rf"{_GAP}++at[ \t]++", rf"{_GAP}++(?:dot|punto|punkt)[ \t]++"
 _DOT = rf"(?:{_DOT_MARK}|{_DOT_WORD})"
-_ANY_AT, _ANY_DOT = re.compile(rf"(?i){_AT_MARK}|{_AT_WORD}|[ \t]*@[ \t]*"), re.compile(rf"(?i){_DOT}")
+_ANY_DOT = re.compile(rf"(?i){_DOT}")
 # Top-level domains that end a disguise made of bare words only.
 _TOP = "com|org|net|edu|gov|info|biz|dev|app|io|ai|co|me|eu|us|uk|de|fr|es|it|nl|ch|at|be|ca|au|br|mx|in|jp|cn|ru|test|example"
 _PART, _LABEL = r"[a-z0-9_%+-]++(?:\.[a-z0-9_%+-]++)*+", r"[a-z0-9-]++"
-_EMAIL = re.compile(
-    rf"(?i)(?<![a-z0-9._%+-]){_PART}(?:{_DOT}{_PART})*(?:(?:{_AT_MARK})(?:{_LABEL})(?:(?:\.|{_DOT}){_LABEL})+"
-    rf"|@{_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})+|(?:{_AT_WORD}){_LABEL}(?:\.{_LABEL})*(?:{_DOT}{_LABEL})*?{_DOT}(?:{_TOP})(?![a-z0-9-]))"
-)
+_CHAIN = re.compile(rf"(?i)(?<![a-z0-9._%+-]){_PART}(?:{_DOT}{_PART})*+")
+_AT = re.compile(rf"(?i)(?P<mark>{_AT_MARK})|(?P<word>{_AT_WORD})|@")
+_AFTER = {
+    "mark": re.compile(rf"(?i){_LABEL}(?:(?:\.|{_DOT}){_LABEL})++"),
+    "word": re.compile(rf"(?i){_LABEL}(?:\.{_LABEL})*+(?:{_DOT}{_LABEL})*?{_DOT}(?:{_TOP})(?![a-z0-9-])"),
+    None: re.compile(rf"(?i){_LABEL}(?:\.{_LABEL})*+(?:{_DOT}{_LABEL})++"),
+}
 _NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 _HINT = re.compile(r"dot|punto|punkt|[\[({<][ \t]*(?:at|@|\.|point)[ \t]*[\])}>]|&#0*[46][46];|&commat;|&period;|%40")
 
@@ -145,24 +160,39 @@ def _spelled(t: Tracked) -> None:
         return
     spans = []
     for run in _RUN.finditer(low):
-        if run[0] in _SPELLED or sum(m[0] in _SPELLED for m in _ONE.finditer(run[0])) >= 2:
-            for m in _ONE.finditer(run[0]):
-                new = "+" if m[0].startswith("plus") else _SPELLED.get(m[0], "")
-                if new != m[0]:
-                    spans.append((run.start() + m.start(), run.start() + m.end(), new))
-    t.rewrite(spans)
+        items = list(_LAST.finditer(low, *run.span()))
+        while items and (low[(end := items[-1].end()) : end + 1].isalnum() or items[-1][0].startswith("plus")):
+            items.pop()  # the beginning of a longer word
+        if sum(m[0] in _SPELLED for m in items) < 2 or len(items) == sum(len(m[0]) for m in items):
+            continue
+        if items[-1].end() - items[0].start() == sum(len(m[0]) for m in items):
+            continue  # nothing between them: a word that happens to be made of such parts
+        for m in _ONE.finditer(low, items[0].start(), items[-1].end()):
+            new = "+" if m[0].startswith("plus") else _SPELLED.get(m[0], "")
+            if new != m[0]:
+                spans.append((*m.span(), new))
+    taken = {a for a, _, _ in spans}
+    spans += [(*m.span(), _SPELLED[m[0]]) for m in _BY_DOT.finditer(low) if m.start() not in taken]
+    t.rewrite(sorted(spans))
 
 
 def _at_and_dot(t: Tracked) -> None:
     if not _HINT.search(t.text.lower()):
         return
-    for whole in (_EMAIL, _NUMBERS):
-        spans = []
-        for m in whole.finditer(t.text):
-            inner = [(a, b, "@") for a, b in (x.span() for x in _ANY_AT.finditer(m[0]))] if whole is _EMAIL else []
-            inner += [(*x.span(), ".") for x in _ANY_DOT.finditer(m[0])]
-            spans += [(m.start() + a, m.start() + b, new) for a, b, new in sorted(inner) if m[0][a:b] != new]
-        t.rewrite(spans)
+    chains, spans, done = {m.end(): m.start() for m in _CHAIN.finditer(t.text)}, [], 0
+    for at in _AT.finditer(t.text):
+        start = chains.get(at.start())
+        after = _AFTER[at.lastgroup].match(t.text, at.end()) if start is not None and start >= done else None
+        if after:
+            inner = [(*m.span(), ".") for a, b in ((start, at.start()), after.span()) for m in _ANY_DOT.finditer(t.text, a, b)]
+            inner += [(*at.span(), "@")] if at[0] != "@" else []
+            spans += sorted(inner)
+            done = after.end()
+    t.rewrite(spans)
+    spans = []
+    for m in _NUMBERS.finditer(t.text):
+        spans += [(*x.span(), ".") for x in _ANY_DOT.finditer(t.text, *m.span())]
+    t.rewrite(spans)
 
 
 TRANSDUCERS: tuple[Callable[[Tracked], None], ...] = (_characters, _spelled, _at_and_dot)
@@ -179,7 +209,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     every = set(base)
     for kind, a, b in plain(tracked.text):
         start, end = tracked.source(a, b)
-        if not any(k == kind and s <= start and end <= e for k, s, e in base):
+        before = bisect_right(base, (kind, start, float("inf"))) - 1  # the only base find that may hold this one
+        if before < 0 or base[before][0] != kind or base[before][2] < end:
             every.add((kind, start, end))
     return base, sorted(every)
 
