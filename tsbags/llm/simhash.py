@@ -33,6 +33,8 @@ SHINGLE, DISTANCE = 4, 4
 PART = 2_048
 #: Groups up to this size are compared by shifting, many groups at once.
 SMALL = 24
+#: Tasks that the rows of one component are dealt to.
+SALTS = 8
 _UNPACK = 1 << 15
 
 
@@ -164,36 +166,45 @@ def close_links(marks: DataFrame, distance: int = DISTANCE, blocks: int | None =
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def _component_ids(rows: DataFrame, key: str, distance: int, blocks: int | None) -> DataFrame:
-    """(fingerprint, component_id) for each distinct fingerprint of the rows."""
-    marks = cut(rows.groupBy("fingerprint").agg(F.min(key).alias("least")))
-    labels = components(close_links(marks, distance, blocks))
-    named = (
-        marks.join(labels, marks["fingerprint"] == labels["node"], "left")
-        .select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
-    )
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "label").select("fingerprint", "component_id")
+def _component_ids(rows: DataFrame, key: str, links: DataFrame, marks: DataFrame) -> DataFrame:
+    """(fingerprint, component_id) for each distinct fingerprint. Only fingerprints with links are looked up by their
+    component, whose id is given to SALTS tasks, so that a very large component isn't one task's."""
+    linked = marks.join(components(links).withColumnRenamed("node", "fingerprint"), "fingerprint")
+    linked = cut(linked.select("fingerprint", "least", "label", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).alias("salt")))
+    ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = linked.join(ids, ["label", "salt"]).select("fingerprint", "component_id")
+    return marks.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def _marks(rows: DataFrame, key: str) -> DataFrame:
+    return cut(rows.groupBy("fingerprint").agg(F.min(key).alias("least")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """One row per document: key, fingerprint (long), component_id."""
     rows = cut(with_fingerprints(docs, text, keep=[key]))
-    ids = _component_ids(rows, key, distance, blocks)
+    marks = _marks(rows, key)
+    ids = _component_ids(rows, key, close_links(marks, distance, blocks), marks)
     return rows.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """The document with the least id of each component, whole; of repeated rows with that id, the first by text.
+    """One row of each component, whole: of its rows with the least id, the one whose text has the least hash, and of
+    equal texts the first by the other columns.
 
     Rows with a null id all stay: no id says which of them to drop. Texts aren't grouped: only fingerprints are, and the
-    ids to keep find their rows by a join.
+    rows to keep are found by a join of id and text hash, so an id that occurs in several components loses none.
     """
-    rows = cut(with_fingerprints(docs, text, keep=[key]))
-    kept = _component_ids(rows, key, distance, blocks).select(F.col("component_id").alias("_kept")).distinct()
-    first = Window.partitionBy(key).orderBy(F.col(text), *[F.col(c) for c in docs.columns if c not in (key, text)])
-    named = (
-        docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
-        .withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    named = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    rows = cut(with_fingerprints(named, text, keep=[key, "_hash"]).filter(F.col(key).isNotNull()))
+    marks = _marks(rows, key)
+    ids = _component_ids(rows, key, close_links(marks, distance, blocks), marks)
+    least = rows.join(ids, "fingerprint").groupBy("component_id").agg(F.min(F.struct(F.col(key), "_hash", "fingerprint")).alias("_k"))
+    kept = least.select(F.col(f"_k.{key}").alias("_kept"), F.col("_k._hash").alias("_kept_hash")).distinct()
+    first = Window.partitionBy(key, "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in (key, text)])
+    one = (
+        named.join(kept, (F.col(key) == F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+        .withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row", "_hash")
     )
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    return one.unionByName(docs.filter(F.col(key).isNull()))
