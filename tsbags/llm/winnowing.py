@@ -6,7 +6,8 @@ window of its own length, and is joined by the hash of all its words instead. Jo
 words themselves then decide which windows occur and which document words they cover.
 
 Defined cases: a null text has no words; an item without words is ignored; repeated items count by item_id, repeated
-documents are each reported; documents with the same doc_id share candidates but are compared by their own texts; an
+documents are each reported; ids may be of any type (they are joined by their hashes, and
+documents with the same id or hash share candidates but are compared by their own texts); an
 empty benchmark hits nothing; input columns beside the ones named are kept, clashing ones replaced.
 """
 
@@ -16,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from tsbags.llm import words as W
 WINDOW, GRAM = 10, 7
 #: Benchmark fingerprints up to which tasks get them all (8 bytes each), to send only possible hits to the join.
 FILTER_FINGERPRINTS = 1_000_000
+#: Words of a text that are compared with the items' windows at once.
+BLOCK = 100_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOUND = pa.schema([("_key", pa.int64()), ("_fp", pa.int64())])
 
@@ -60,7 +64,7 @@ def fingerprints(df: DataFrame, key: str, text: str, short: tuple[int, ...] = ()
                     keys = part.column(0).take(pa.array(pairs[0].astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(W.as_signed(pairs[1]))], schema=_FOUND)
 
-    columns = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    columns = df.select(F.xxhash64(key).alias("_key"), F.col(text).alias("_text"))
     return columns.mapInArrow(run, "_key long, _fp long")
 
 
@@ -90,7 +94,7 @@ def _item_fingerprints(items: DataFrame, key: str, text: str) -> DataFrame:
                 keys = part.column(0).take(pa.array(rows.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(W.as_signed(marks)), pa.array(short)], schema=schema)
 
-    columns = items.select(F.col(key).cast("long").alias("_item"), F.col(text).alias("_text"))
+    columns = items.select(F.xxhash64(key).alias("_item"), F.col(text).alias("_text"))
     return columns.mapInArrow(run, "_item long, _fp long, _short int").distinct()
 
 
@@ -106,23 +110,41 @@ def _windows(text: str) -> tuple[int, frozenset]:
     return k, frozenset(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)) if k else frozenset()
 
 
-def extend(text: str, items: list[dict]) -> tuple[int, int, list[int]]:
+def _blocks(text: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The text's words in blocks, each with the number of its first word; it begins with the last words of the one before,
+    so that every window lies in one."""
+    words = (m[0] for m in _WORD.finditer(text.encode("utf-8", "surrogatepass").lower()))
+    at, block = 0, list(islice(words, BLOCK))
+    while block:
+        yield at, block
+        more = list(islice(words, BLOCK))
+        kept = block[-(WINDOW - 1) :] if more else []
+        at, block = at + len(block) - len(kept), kept + more
+
+
+def extend(text: str, items: list[dict]) -> tuple[int, int, list[str]]:
     """Words of the text, words inside occurring windows, and the ids of items with occurring windows."""
-    ws = tokens(text)
-    hit, found = np.zeros(len(ws) + 1, dtype=np.int64), set()
-    runs: dict[int, list[tuple]] = {}
-    for item in items:
-        k, windows = _windows(item["text"])
-        if not k or k > len(ws):
-            continue
-        if k not in runs:
-            runs[k] = list(zip(*(ws[t:] for t in range(k)), strict=False))
-        at = [i for i, run in enumerate(runs[k]) if run in windows]
-        if at:
-            found.add(item["item"])
-            np.add.at(hit, at, 1)
-            np.add.at(hit, np.asarray(at) + k, -1)
-    return len(ws), int((np.cumsum(hit)[:-1] > 0).sum()), sorted(found, key=str)
+    known = [(item["item"], *_windows(item["text"])) for item in items]
+    total, hits, found = 0, 0, set()
+    before = np.zeros(0, dtype=np.int64)  # numbers of the hit words of the block before
+    for first, ws in _blocks(text):
+        total = first + len(ws)
+        runs: dict[int, list[tuple]] = {}
+        hit = np.zeros(len(ws) + 1, dtype=np.int64)
+        for name, k, windows in known:
+            if not k or k > len(ws):
+                continue
+            if k not in runs:
+                runs[k] = list(zip(*(ws[t:] for t in range(k)), strict=False))
+            at = [i for i, run in enumerate(runs[k]) if run in windows]
+            if at:
+                found.add(name)
+                np.add.at(hit, at, 1)
+                np.add.at(hit, np.asarray(at) + k, -1)
+        inside = np.flatnonzero(np.cumsum(hit)[:-1] > 0) + first
+        hits += len(inside) - int(np.isin(inside[: WINDOW - 1], before[-(WINDOW - 1) :]).sum())
+        before = inside
+    return total, hits, sorted(found)
 
 
 def decontaminate(
@@ -143,13 +165,13 @@ def decontaminate(
         fingerprints(docs, key, text, short, only)
         .join(marks.select("_item", "_fp"), "_fp").select("_key", "_item").distinct()
     )
-    named = items.select(F.col(item_key).cast("long").alias("_item"), F.col(item_text).alias("_words")).filter("_item is not null and _words is not null")
+    named = items.select(F.xxhash64(item_key).alias("_item"), F.col(item_key).cast("string").alias("_name"), F.col(item_text).alias("_words"))
     hits = (
-        hits.join(named, "_item").groupBy("_key")
-        .agg(F.collect_list(F.struct(F.col("_item").alias("item"), F.col("_words").alias("text"))).alias("_items"))
+        hits.join(named.filter("_name is not null and _words is not null"), "_item").groupBy("_key")
+        .agg(F.collect_list(F.struct(F.col("_name").alias("item"), F.col("_words").alias("text"))).alias("_items"))
         .withColumnRenamed("_key", "_hit_key")
     )
-    paired = docs.select(*names).join(hits, F.col(key).cast("long").eqNullSafe(F.col("_hit_key")), "left").drop("_hit_key")
+    paired = docs.select(*names).join(hits, F.xxhash64(key) == F.col("_hit_key"), "left").drop("_hit_key")
     schema = paired.drop("_items").schema
     for name, kind in zip(added, ("long", "long", "long", "string", "boolean"), strict=True):
         schema = schema.add(name, kind)
