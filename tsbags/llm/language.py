@@ -1,6 +1,7 @@
 """Language identification by compression: the language whose dictionary makes the text smallest.
 
-A language's dictionary is raw text of a bounded sample of its labelled documents. A text is lowered, everything but
+A language's dictionary is raw text of a bounded sample of its labelled documents (those with the lowest hashes of their
+key, one text per key; about SAMPLE_DOCS of them, SAMPLE_CHARS characters each, of which DICTIONARY_BYTES bytes serve). A text is lowered, everything but
 letters becomes a blank, and it is cut into pieces; every piece is compressed by zstandard once per language with that
 dictionary as raw content, and the sizes are added up. The smallest sum wins. score = 1 - smallest / second smallest;
 a prediction is accepted if the score reaches a margin.
@@ -25,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_000, 96_000
 #: Characters compressed at once: short enough that the dictionary, not the text before, is what helps.
 PIECE = 3_000
 #: Labels at most; the table of their counts is sent to all tasks.
-LABELS = 10_000
+LABELS = 500
 LEVEL = 9
 UNDECIDED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,7 +43,7 @@ def _lines(text: str) -> list[str]:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """The dictionary of each label, from about `sample` documents of it (those with the lowest hashes of their key).
+    """The dictionary of each label, from about `sample` documents of it. More than LABELS labels are an error.
 
     Only these samples, at most SAMPLE_CHARS characters each, reach the driver.
     """
@@ -51,10 +52,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if sizes.limit(LABELS + 1).count() > LABELS:
         raise ValueError(f"more than {LABELS} labels")
     dice = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) / 1e6
-    rows = (
-        labelled.select(key, text, lang).join(F.broadcast(sizes), lang).filter(dice < F.lit(float(sample)) / F.col("_n"))
-        .select(lang, F.substring(text, 1, SAMPLE_CHARS), F.xxhash64(key)).collect()
-    )
+    some = labelled.select(key, text, lang).join(F.broadcast(sizes), lang).filter(dice < F.lit(float(sample)) / F.col("_n"))
+    one = F.min(F.struct(F.xxhash64(text), F.substring(text, 1, SAMPLE_CHARS).alias("piece")))  # of a key with many rows
+    rows = some.groupBy(lang, key).agg(one.alias("_one")).select(lang, "_one.piece", F.xxhash64(key)).collect()
     rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
     speakers: dict[str, set[str]] = {}
     for name, piece, _ in rows:
