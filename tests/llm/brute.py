@@ -44,10 +44,10 @@ def pii(text):
     return sorted(out)
 
 
-def simhash(text):
+def simhash(text, size=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     ws = re.findall(r"[^\x20\x09-\x0D]+", low)
-    shingles = [" ".join(ws[i : i + 4]) for i in range(len(ws) - 3)] if len(ws) >= 4 else [" ".join(ws)] if ws else []
+    shingles = [" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)] if len(ws) >= size else [" ".join(ws)] if ws else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

@@ -56,8 +56,8 @@ def test_language_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
-    ids, prints = [r.doc_id for r in stages[1]], [brute.simhash(r.text) for r in stages[1]]
-    keep = set(brute.component_ids(ids, prints))
+    ids, prints = [r.doc_id for r in stages[1]], [brute.simhash(r.text, 5) for r in stages[1]]
+    keep = set(brute.component_ids(ids, prints, 6))
     assert rows(stages[2]) == rows([r for r in stages[1] if r.doc_id in keep])
 
 
@@ -95,3 +95,46 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, shard string, fingerprint long, n_words string"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(6).collect()
+    a, b, c, d, e, f = (r.text for r in rows)
+    long = " ".join([a, b, c, d] * 400)
+    data = [
+        (3, a, "en", "s", 1, "x", 1, "w"), (5, a, "en", "s", 1, None, None, None), (5, b, "en", "s", 1, "x", 1, "w"),
+        (None, c, "en", None, None, "x", 1, "w"), (None, c, "en", None, None, "x", 1, "w"), (7, None, "en", "s", 1, "x", 1, "w"),
+        (8, "", None, "s", 1, "x", 1, "w"), (9, d, "fr", "t", 1, "x", 1, "w"), (9, d, "fr", "t", 1, "x", 1, "w"), (10, e, "de", None, 1, "y", 2, "w"),
+        (11, long, "en", "t", 1, "x", 1, "w"), (12, f, None, "t", None, None, None, None),
+    ]
+    return spark.createDataFrame(data, AWKWARD)
+
+
+def test_near_duplicate_stage_keeps_every_text_once(spark, awkward):
+    _, stage = pipeline.STAGES[1]
+    got = stage(spark, awkward, SF)
+    assert got.columns == awkward.columns
+    kept, texts = Counter((r.doc_id, r.text) for r in got.collect()), {(r.doc_id, r.text) for r in awkward.collect()}
+    a, b = (next(t for i, t in texts if i == n and (n == 3 or t != next(t for i, t in texts if i == 3))) for n in (3, 5))
+    assert kept[3, a] == 1 and kept[5, a] == 0 and kept[5, b] == 1  # the repeated id loses only its copy
+    assert sum(n for (i, _), n in kept.items() if i is None) == 2  # no id says which to drop
+    assert kept[7, None] == 1 and kept[8, ""] == 0  # both without words: one component, the least id stays
+    assert {i: n for (i, _), n in kept.items() if i and i >= 9} == {9: 1, 10: 1, 11: 1, 12: 1}
+
+
+def test_stages_take_awkward_rows(spark, awkward):
+    docs = awkward
+    for i, (_, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns  # a column named shard is replaced
+        rows = got.collect()
+        if i == 0:
+            assert all(r.text for r in rows)
+        if i == 2:
+            assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+        docs = docs if i in (0, 3) else got
+    assert {0 <= r.shard < 24 for r in rows} == {True}

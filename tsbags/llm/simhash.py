@@ -82,9 +82,9 @@ def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
 
 
 def blocks_for(count: int, distance: int = DISTANCE) -> int:
-    """So many blocks that a key has more bits than the count of fingerprints, so random keys hold few of them."""
+    """So many blocks that a key has about as many bits as the count of fingerprints, so random keys hold few of them."""
     blocks = distance + 2
-    while blocks < 12 and 64 * (blocks - distance) // blocks < max(1, count).bit_length():
+    while blocks < distance + 8 and 64 * (blocks - distance) // blocks + 3 < max(1, count).bit_length():
         blocks += 1
     return blocks
 
@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     return rows.join(ids, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None
+) -> DataFrame:
     """One row of each component, whole: of its rows with the least id, the one whose text has the least hash, and of
     equal texts the first by the other columns.
 
@@ -197,7 +199,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     rows to keep are found by a join of id and text hash, so an id that occurs in several components loses none.
     """
     named = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    rows = cut(with_fingerprints(named, text, keep=[key, "_hash"]).filter(F.col(key).isNotNull()))
+    rows = cut(with_fingerprints(named, text, size, keep=[key, "_hash"]).filter(F.col(key).isNotNull()))
     marks = _marks(rows, key)
     ids = _component_ids(rows, key, close_links(marks, distance, blocks), marks)
     least = rows.join(ids, "fingerprint").groupBy("component_id").agg(F.min(F.struct(F.col(key), "_hash", "fingerprint")).alias("_k"))
