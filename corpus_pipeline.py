@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Written as Parquet between stages, each stage works on all that its predecessor kept.
+
+Defined cases: documents with a null, empty or letterless text have no language and go in the first stage; those with a
+null id have no copies and stay; of an id that several documents share, each counts by its own text, and in mixing they
+get equal counts; very long texts are taken whole; extra columns pass through, but `shard`, which the last stage replaces;
+an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the least doc_id."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each SimHash component (five-word shingles) stays: the one with the least doc_id."""
+    return simhash.keep_one(docs, **catalog.NEAR).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
