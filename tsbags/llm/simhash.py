@@ -174,7 +174,7 @@ def _component_ids(rows: DataFrame, key: str, links: DataFrame, marks: DataFrame
     ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = linked.join(ids, ["label", "salt"]).select("fingerprint", "component_id")
-    return marks.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
+    return cut(marks.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id")))
 
 
 def _marks(rows: DataFrame, key: str) -> DataFrame:
