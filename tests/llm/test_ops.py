@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import brute
@@ -113,6 +114,63 @@ def test_op2_disguises_map_back(text, kind, part):
     assert (pii.KINDS.index(kind), text.index(part), text.index(part) + len(part)) in every
 
 
+@pytest.mark.parametrize("text", [
+    "0" * 200_000 + ".1.1.1", "a dot " * 200_000, "a [dot] " * 200_000, "one two " + "1 " * 200_000, " " * 300_000 + "a [dot] b", "a at " * 100_000 + " dot",
+    "one two " * 50_000, "a@b.co [dot] " * 30_000, "plus " * 100_000 + "one two dot", "x [at] " * 100_000, "x at a" + " dot b" * 100_000,
+])
+def test_op2_takes_long_texts_in_linear_time(text):
+    start = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - start < 20
+
+
+def test_op2_numbers_of_any_length():
+    text = "0" * 5_000 + ".1.1.1 and 256.1.1.1 and 00255.0.0.0"
+    assert pii.find(text)[0] == brute.pii(text) and len(brute.pii(text)) == 2
+
+
+#: How a plain find is disguised, by kind.
+_DISGUISES = {
+    "email": {
+        "words": lambda s: s.replace("@", " at ").replace(".", " dot "), "brackets": lambda s: s.replace("@", " [at] ").replace(".", "(dot)"),
+        "references": lambda s: s.replace("@", "&#64;").replace(".", "&period;"), "look-alikes": lambda s: s.replace("a", "\u0430").replace("e", "\u0435").replace("o", "\u043e"),
+    },
+    "ip": {"words": lambda s: s.replace(".", " dot "), "brackets": lambda s: s.replace(".", "[.]"), "full width": lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)},
+    "card": {"full width": lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s), "spelled": lambda s: " ".join(NAMES[int(c)] for c in s)},
+    "phone": {"spelled": lambda s: "plus " + " ".join(NAMES[int(c)] for c in s[1:]), "full width": lambda s: "+" + "".join(chr(ord(c) + 0xFEE0) for c in s[1:])},
+}
+NAMES = "zero one two three four five six seven eight nine".split()
+
+
+def personal(rng, kind):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+        return f"{word()}.{word()}@{word()}.{rng.choice(['com', 'org', 'net', 'de'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "phone":
+        return "+" + rng.choice("123456789") + digits(rng.randrange(8, 13))
+    body = "4" + digits(14)
+    return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+
+def test_op2_recall_of_each_disguise():
+    """Of 200 planted finds of every kind and disguise, those whose exact source span is among the finds; see the README."""
+    rng, prose = random.Random(9), "the committee will meet again in the small hall near the river when the report is done".split()
+    for kind, ways in _DISGUISES.items():
+        for name, disguise in ways.items():
+            caught = 0
+            for _ in range(200):
+                before, after = (" ".join(rng.choices(prose, k=rng.randrange(5, 30))) for _ in range(2))
+                said = disguise(personal(rng, kind))
+                text = f"{before} {said} {after}"
+                base, every = pii.find(text)
+                caught += (pii.KINDS.index(kind), len(before) + 1, len(before) + 1 + len(said)) in every
+            print(kind, name, caught / 200)
+            assert caught >= 190, (kind, name, caught)
+
+
 def test_op2_leaves_plain_prose_alone():
     for text in ("meet me at example.com", "look at the dot on the map", "one two buckle my shoe", "Привет, мир", "zone alone phone"):
         assert pii.find(text) == ([], [])
@@ -383,6 +441,12 @@ def test_op6_held_out_accuracy(spark, docs, awkward):
     assert {r.lang_pred for r in language.identify(awkward, {}).collect()} == {"und"}
 
 
+def test_op6_a_key_that_most_rows_share_teaches_one_text(spark):
+    rows = [(1, f"wort nummer {i} und noch ein satz", "de") for i in range(3_000)] + [(i, f"a word {chr(97 + i % 26)}{chr(97 + i // 2)} and another line", "en") for i in range(2, 50)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10_000)
+    assert len(model["de"]) < 100 < len(model["en"])
+
+
 def test_op6_rejects_foreign_and_mixed_texts(spark):
     data = [
         (1, "Ala ma kota a kot ma ale i nikt nie wie dlaczego tak jest bo przeciez wszystko jest mozliwe w tym kraju nad Wisla gdzie zawsze pada deszcz"),
@@ -442,6 +506,12 @@ def test_op7_top_k_of_opposite_copies(spark):
     assert sorted(map(tuple, got)) == [(0, i, i, -65536) for i in range(1, 6)]
 
 
+def test_op7_blocks_hold_groups_with_like_cells(monkeypatch):
+    monkeypatch.setattr(covertree, "QUERIES", 10)
+    got = covertree.packed({0: (4, (1, 2)), 1: (25, (3,)), 2: (5, (1, 2)), 3: (2, (1, 2))})
+    assert got[0] == got[2] and len(got[1]) == 3 and not {b for g in (0, 2, 3) for b in got[g]} & set(got[1])
+
+
 def test_op7_prunes_clustered_vectors():
     rng = np.random.default_rng(4)
     centers = rng.integers(-200, 200, (40, 4))
@@ -478,6 +548,13 @@ def test_op8_rates_and_counts(spark, docs, awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0
 
 
+def test_op8_extreme_rates(spark):
+    docs = spark.createDataFrame([(1, "one"), *[(i, "many") for i in range(2, 400)]], "doc_id long, source string")
+    got = {r.source: r["count"] for r in mixing.mix(docs, weights={"one": 1.0, "many": 1.0}, total=160_000).groupBy("source").count().collect()}
+    assert abs(got["one"] - 80_000) < 6 * math.sqrt(80_000) and abs(got["many"] - 80_000) < 6 * math.sqrt(80_000)
+    assert mixing.rates(docs, total=160_000).agg(F.max(F.size("cdf"))).first()[0] < 600
+
+
 def items(spark):
     return [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
 
@@ -497,6 +574,22 @@ def test_op9_equals_brute_force(spark, docs, awkward, most, monkeypatch):
     assert none.filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_op9_ids_of_any_type_and_blocks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "BLOCK", 25)
+    rng = random.Random(4)
+    bench = [(f"item-{i}", " ".join(str(rng.randrange(40)) for _ in range(14))) for i in range(40)] + [("short", "7 7 7"), (None, "8 8 8")]
+    rows = []
+    for i in range(30):
+        ws = [str(rng.randrange(40)) for _ in range(rng.randrange(200))]
+        for _ in range(3):
+            item, at = rng.choice(bench[:40])[1].split(), rng.randrange(len(ws) + 1)
+            ws[at:at] = item[: rng.randrange(9, 15)]
+        rows.append((f"doc {i}", " ".join(ws)))
+    got = winnowing.decontaminate(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(bench, "item_id string, text string"))
+    for r in got.collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute.hits(r.text, [b for b in bench if b[0]])
+
+
 def test_op9_winnowing_keeps_its_promise():
     import pyarrow as pa
 
