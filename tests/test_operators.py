@@ -195,17 +195,48 @@ def naive_sweep(counts, y, j, classes):
     return out
 
 
-def test_block_sweep_equals_loops(monkeypatch):
-    monkeypatch.setattr(profiles, "CHUNK", 4)
+@pytest.mark.parametrize(("chunk", "series"), [(4, 3), (100, 100)])
+def test_block_sweep_equals_loops(spark, monkeypatch, chunk, series):
+    monkeypatch.setattr(profiles, "CHUNK", chunk)
+    monkeypatch.setattr(profiles, "SERIES", series)
     rng = np.random.default_rng(6)
     y = np.array([0, 1, 2, 0, 1, 2, 0, 1, 2, 3])  # class 3 has one member
     counts = rng.poisson(0.6, (10, 11))
-    sizes = np.array([(y == k).sum() for k in range(4)])
-    known = profiles.ClassCounts(np.stack([counts[y == k].sum(axis=0) for k in range(4)], axis=1), sizes)
-    for j in range(10):
-        at = np.flatnonzero(counts[j])
-        got = known.sweep(y[j], at, counts[j][at].astype(float))
-        assert list(zip(*[g.tolist() for g in got], strict=True)) == naive_sweep(counts, y, j, 4)
+    sizes = {k: int((y == k).sum()) for k in range(4)}
+    ranked = [(0, w + 1, k, int(counts[y == k, w].sum())) for w in range(11) for k in range(4) if counts[y == k, w].sum()]
+    rows = [(0, j, int(y[j]), [int(w) + 1 for w in np.flatnonzero(counts[j])], [int(c) for c in counts[j] if c]) for j in range(10)]
+    ranked = spark.createDataFrame(ranked, "method_id int, rk int, label int, cnt long")
+    rows = spark.createDataFrame(rows, "method_id int, series_id long, label int, ranks array<long>, counts array<long>")
+    truth = [naive_sweep(counts, y, j, 4) for j in range(10)]
+    got = {(r.sim, r.rk): r.n for r in profiles.sweep(rows, ranked, sizes).groupBy("sim", "rk").agg(F.sum("n_correct").alias("n")).collect()}
+    assert got == {(sim, w + 1): sum(truth[j][w][i] == y[j] for j in range(10)) for i, sim in enumerate(("ed", "cos")) for w in range(11)}
+    said = profiles.sweep(rows, ranked, sizes, {(0, "ed"): 11, (0, "cos"): 5}).collect()
+    assert {(r.sim, r.series_id): r.predicted for r in said} == {
+        (sim, j): truth[j][w][i] for i, (sim, w) in enumerate((("ed", 10), ("cos", 4))) for j in range(10)
+    }
+
+
+@pytest.mark.parametrize("flags", [(True, True, True), (False, True, True), (True, False, True), (True, True, False)])
+def test_sla_fits_lines_under_every_flag(spark, flags):
+    x = np.random.default_rng(8).integers(-50, 50, 40)
+    points = spark.createDataFrame([(1, i, int(v)) for i, v in enumerate(x)], "series_id long, pos long, value long")
+    got = {r.pos: r.coeffs for r in positions.sla(points, 13, 5, mean_norm=flags[0], std_norm=flags[1], pos_norm=flags[2]).collect()}
+    assert set(got) == set(range(28))
+    for pos, coeffs in got.items():
+        window = x[pos : pos + 13].astype(float)
+        z = (window - (window.mean() if flags[0] else 0)) / (window.std() if flags[1] else 1)
+        want = []
+        for a, b in ((0, 4), (4, 8), (8, 13)):  # an odd size is rounded up to three lines
+            slope, intercept = np.polyfit(np.arange(b - a) + (0 if flags[2] else pos + a), z[a:b], 1)
+            want += [slope, intercept]
+        assert np.allclose(coeffs, want)
+
+
+def test_grid_rounds_odd_sla_sizes_up():
+    c = grid.Config(0, "sla", 5, 13, 3)
+    x = np.random.default_rng(9).normal(size=30)
+    assert grid.coefficients(x, c).shape == (18, 6)
+    assert len(grid.words_of(x, c, [np.array([-0.4, 0.4])] * 6)) == 18
 
 
 def test_x_means_splits_what_is_apart():

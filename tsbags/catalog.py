@@ -208,6 +208,29 @@ def p9_sla(spark, d):
     return _rounded(positions.sla(_points(spark, d), WIN, 4), 4)
 
 
+C6 = ", ".join(f"round(c{i}, 6) AS c{i}" for i in range(6))
+
+
+@query(Q.query(Q.EVENTS, Q.sla(WIN, 5), f"SELECT series_id, pos, {C6} FROM coeffs"))
+def p9_sla_odd_size(spark, d):
+    return _rounded(positions.sla(_points(spark, d), WIN, 5), 6)
+
+
+@query(Q.query(Q.EVENTS, Q.sla(WIN, 4, mean="0.0::DOUBLE"), f"SELECT series_id, pos, {C4} FROM coeffs"))
+def p9_sla_without_mean(spark, d):
+    return _rounded(positions.sla(_points(spark, d), WIN, 4, mean_norm=False), 4)
+
+
+@query(Q.query(Q.EVENTS, Q.sla(WIN, 4, std="1.0::DOUBLE"), f"SELECT series_id, pos, {C4} FROM coeffs"))
+def p9_sla_without_std(spark, d):
+    return _rounded(positions.sla(_points(spark, d), WIN, 4, std_norm=False), 4)
+
+
+@query(Q.query(Q.EVENTS, Q.sla(WIN, 4, from_series=True), f"SELECT series_id, pos, {C4} FROM coeffs"))
+def p9_sla_without_pos(spark, d):
+    return _rounded(positions.sla(_points(spark, d), WIN, 4, pos_norm=False), 4)
+
+
 @query(Q.query(Q.ORDERS, Q.sax(12, 4, pad=True), f"SELECT series_id, pos, {C4} FROM coeffs"))
 def p10_short_series(spark, d):
     return _rounded(positions.sax(S.orders_customer(spark, d), 12, 4, pad=True), 4)
@@ -244,9 +267,9 @@ def d2_equal_depth(spark, d):
     return _bounds_out(discretize.equal_depth(_sampled(positions.sla(_points(spark, d), WIN, 4)), 4), "letter")
 
 
-@query(Q.query(Q.EVENTS, Q.sax(WIN, SIZE), Q.long(SIZE, "pos % 2 = 0"), Q.equal_depth("series_id, letter", 3), _bounds_sql("series_id, letter")))
+@query(Q.query(Q.EVENTS, Q.sax(WIN, SIZE), Q.long(SIZE), Q.equal_depth("series_id, letter", 3), _bounds_sql("series_id, letter")))
 def d3_equal_depth_by_series(spark, d):
-    coeffs = positions.sax(_points(spark, d), WIN, SIZE).filter("pos % 2 = 0")
+    coeffs = positions.sax(_points(spark, d), WIN, SIZE)
     values = discretize.long_coeffs(coeffs, ("series_id", "pos"))
     return _bounds_out(discretize.equal_depth(values, 3, ("series_id", "letter")), "series_id", "letter")
 
@@ -490,9 +513,8 @@ def _block_sweep(spark, d):
     sizes = S.class_sizes(labels)
     f = scores.f_statistic(bag.join(labels, "series_id"), ["cfg_id", "word"], "cnt", sizes)
     ranks = cut(scores.rank_words(f, "f", ["cfg_id"], drop_zero=True).withColumn("method_id", F.lit(0)))
-    counts = profiles.class_counts(ranked_counts(bag, ranks, labels), sizes_of(labels))
-    block = profiles.sweep_rows(bag, ranks, labels, sorted(counts))
-    return profiles.sweep(block, counts, sorted(sizes_of(labels)))
+    ranked = ranked_counts(bag, ranks, labels).select("method_id", "rk", "label", "cnt")
+    return profiles.sweep(profiles.sweep_rows(bag, ranks, labels, [0]), cut(ranked), sizes_of(labels))
 
 
 @query(ORACLE_SQL["c6_prefix_sweep"])
@@ -504,7 +526,9 @@ def c6_prefix_sweep_blocks(spark, d):
 
 @query(Q.query(*RANKED, Q.PROFILE, Q.TERMS, Q.PREDICTED, "SELECT sim, word, label, rk::INT AS rk, round(mean_cnt, 6) AS mean_cnt, round(tfidf, 6) AS tfidf FROM best JOIN ranks ON rk <= n_selected JOIN profile USING (word)"))
 def c7_selected_words(spark, d):
-    methods = profiles.best_prefix(profiles.accuracies(profiles.dense_sweep(_terms(spark, d))))
+    total = _labels(spark, d).count()
+    scored = _block_sweep(spark, d).groupBy("sim", "rk").agg((F.sum("n_correct") / total).alias("accuracy"))
+    methods = profiles.best_prefix(scored)
     chosen = profiles.select_words(_ranks(spark, d), methods, _profile(spark, d))
     return chosen.select("sim", "word", "label", "rk", *six("mean_cnt", "tfidf"))
 
@@ -554,7 +578,7 @@ def x4_subclass_sweep(spark, d):
 
 # Ensembles, on predictions made by rule from the embeddings: method m takes component m.
 
-MADE = """each AS (SELECT vec_id AS series_id, label AS own, unnest(range(36))::INT AS method_id, abs(round(unnest(embedding[1:36])::DOUBLE * 1000000))::BIGINT AS v FROM embeddings),
+MADE = """each AS (SELECT vec_id AS series_id, label AS own, unnest(range(len(embedding)))::INT AS method_id, abs(round(unnest(embedding)::DOUBLE * 1000000))::BIGINT AS v FROM embeddings),
 predictions AS (SELECT series_id, own, method_id, CASE WHEN v % 5 < 3 THEN own ELSE (v % 10)::INT END AS predicted, CASE WHEN method_id % 2 = 0 THEN 'ed' ELSE 'cos' END AS sim FROM each),
 methods AS (SELECT sim, method_id, avg((predicted = own)::INT) AS cv_score, CASE WHEN method_id % 3 = 0 THEN 'sla' ELSE 'sax' END AS kind, 3 + method_id % 6 AS word_size,
  method_id % 7 AS n_selected, CASE WHEN method_id % 4 < 2 THEN 'classes' ELSE 'subclasses' END AS partition, method_id % 9 = 0 AS unsplit FROM predictions GROUP BY sim, method_id)"""
@@ -562,7 +586,7 @@ methods AS (SELECT sim, method_id, avg((predicted = own)::INT) AS cv_score, CASE
 
 def _predictions(spark, d):
     v = F.abs(F.round(F.col("x").cast("double") * 1_000_000)).cast("long")
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 36)).alias("method_id", "x")).withColumn("v", v)
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("method_id", "x")).withColumn("v", v)
     return rows.select(
         F.col("vec_id").alias("series_id"), F.col("label").alias("own"), "method_id",
         F.when(F.col("v") % 5 < 3, F.col("label")).otherwise((F.col("v") % 10).cast("int")).alias("predicted"),

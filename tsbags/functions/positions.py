@@ -146,21 +146,30 @@ def sax(points: DataFrame, win: int, word_size: int, pad: bool = False, mean_nor
     return sums.select("series_id", "pos", F.array(*coeffs).alias("coeffs"), starts.alias("_start")).filter("_start").drop("_start")
 
 
-def sla(points: DataFrame, win: int, word_size: int, pad: bool = False) -> DataFrame:
+def lines_of(word_size: int) -> int:
+    """Lines of an SLA word: two coefficients each, an odd size is rounded up."""
+    return (word_size + 1) // 2
+
+
+def sla(
+    points: DataFrame, win: int, word_size: int, pad: bool = False, mean_norm: bool = True, std_norm: bool = True, pos_norm: bool = True
+) -> DataFrame:
     """(series_id, pos, coeffs): slope and intercept of the least-squares line in each segment of the normalised window.
 
-    The time of a segment starts at 0; word_size is made even.
+    With pos_norm the time of a segment starts at 0, else at its position in the series; an odd word_size is made even.
     """
-    segments = word_size // 2
+    segments = lines_of(word_size)
     if win < 2 * segments:
         raise ValueError(f"a window of {win} is too short for {segments} lines")
     sums, starts = _windows(points, win, pad)
     mean, std = _stats(win, pad)
+    mean, std = mean if mean_norm else F.lit(0.0), std if std_norm else F.lit(1.0)
     coeffs = []
     for a, b in segment_starts(win, segments):
         n = b - a
         total = _upto("s", b, OWN["s"], pad) - _upto("s", a, OWN["s"], pad)
         timed = _upto("st", b, OWN["st"], pad) - _upto("st", a, OWN["st"], pad) - (F.col("pos") + a) * total
         slope = (timed - F.lit((n - 1) / 2) * total) / (F.lit(n * (n * n - 1) / 12) * std)
-        coeffs += [slope, (total / F.lit(float(n)) - mean) / std - slope * F.lit((n - 1) / 2)]
+        middle = F.lit((n - 1) / 2) if pos_norm else F.col("pos") + F.lit(a + (n - 1) / 2)
+        coeffs += [slope, (total / F.lit(float(n)) - mean) / std - slope * middle]
     return sums.select("series_id", "pos", F.array(*coeffs).alias("coeffs"), starts.alias("_start")).filter("_start").drop("_start")

@@ -1,7 +1,7 @@
 """Bags of many configurations in one pass over the series: NumPy prefix sums inside tasks, only bag rows come out.
 
-Windows and coefficients (series x positions x configurations) never leave the task. A series is one row; a series of
-many millions of points is to be cut into overlapping stretches first.
+Windows and coefficients (series x positions x configurations) never leave the task. A series is one row and its prefix
+sums are held whole, some 100 bytes a point: about ten million points a series are what a task holds with ease.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tsbags.functions.bits import num_bits
-from tsbags.functions.positions import segment_starts
+from tsbags.functions.positions import lines_of, segment_starts
 from tsbags.operators.discretize import GAUSSIAN, fill_local
 
 
@@ -29,6 +29,11 @@ class Config:
     card: int
     fill: bool = False  # local filling instead of exact words
 
+    @property
+    def letters(self) -> int:
+        """Coefficients of a window: as many as the word size, which SLA rounds up to an even number."""
+        return self.word_size if self.kind == "sax" else 2 * lines_of(self.word_size)
+
 
 def coefficients(x: np.ndarray, c: Config) -> np.ndarray:
     """(positions, word_size): the coefficients of every window; a series shorter than the window counts as zero-padded."""
@@ -41,7 +46,7 @@ def coefficients(x: np.ndarray, c: Config) -> np.ndarray:
     variance = (s2[c.win :] - s2[:n]) / c.win - mean * mean
     std = np.where(variance > 0, np.sqrt(np.maximum(variance, 0)), 1.0)
     out = []
-    for a, b in segment_starts(c.win, c.word_size if c.kind == "sax" else c.word_size // 2):
+    for a, b in segment_starts(c.win, c.letters if c.kind == "sax" else c.letters // 2):
         total, k = s[b : b + n] - s[a : a + n], b - a
         if c.kind == "sax":
             out.append((total / k - mean) / std)
@@ -73,7 +78,7 @@ def grid_bag(series: DataFrame, configs: list[Config], bounds: dict[int, list[li
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {
-            c.cfg_id: [np.asarray(b) for b in bounds.get(c.cfg_id) or [GAUSSIAN[c.card]] * c.word_size] for c in configs
+            c.cfg_id: [np.asarray(b) for b in bounds.get(c.cfg_id) or [GAUSSIAN[c.card]] * c.letters] for c in configs
         }
         for frame in frames:
             for series_id, values in zip(frame["series_id"], frame["values"], strict=True):

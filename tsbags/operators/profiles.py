@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tsbags.session import cut
+
 DIGITS = 9
-#: Ranks handled at once by the sweep.
-CHUNK = 16_384
+#: Ranks and series that a task of the sweep handles at once.
+CHUNK, SERIES = 4_096, 2_000
 
 
 def profile(classes: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("word",)) -> DataFrame:
@@ -94,11 +96,13 @@ def select_words(ranks: DataFrame, methods: DataFrame, profiled: DataFrame) -> D
 
 
 class ClassCounts:
-    """Counts of ranked words per class (rank x class) of one method, and what follows when nothing is left out."""
+    """Counts of a chunk of ranked words per class (rank x class), and what follows when nothing is left out."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.s, self.n = counts.astype(np.float64), sizes.astype(np.float64)
         self.tfidf = self.weights(self.s)
+        self.squares = self.tfidf**2
+        self.means: dict[int, np.ndarray] = {}
 
     @staticmethod
     def weights(s: np.ndarray) -> np.ndarray:
@@ -106,84 +110,123 @@ class ClassCounts:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(s > 0, (1 + np.log10(s)) * np.log10(1 + s.shape[1] / holders), 0.0)
 
-    def sweep(self, own: int, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predicted class by both similarities after each rank, for a series with counts x at ranks `at` (from 0)."""
+    def sums(self, own: int, at: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Running sums (Euclidean terms, squared TF-IDF, products, squared TF) after each rank, for a series with counts x
+        at ranks `at` (from 0), from the state that the chunks before leave."""
         width, classes = self.s.shape
         n = self.n.copy()
         n[own] = max(n[own] - 1, 1)
+        if own not in self.means:
+            self.means[own] = (self.s / n) ** 2
         left = self.s[at].copy()
         left[:, own] -= x
         tfidf, tf = self.weights(left), 1 + np.log10(x)
-        state = {k: np.zeros(classes) for k in ("ed", "c", "p")} | {"j": 0.0}
-        out = np.empty((2, width), dtype=np.int64)
-        for a in range(0, width, CHUNK):
-            b = min(a + CHUNK, width)
-            here = (at >= a) & (at < b)
-            i = at[here] - a
-            ed, c = (self.s[a:b] / n) ** 2, self.tfidf[a:b] ** 2
-            p, j = np.zeros((b - a, classes)), np.zeros(b - a)
-            ed[i] = (left[here] / n - x[here][:, None]) ** 2
-            c[i] = tfidf[here] ** 2
-            p[i] = tfidf[here] * tf[here][:, None]
-            j[i] = tf[here] ** 2
-            sums = {k: np.cumsum(v, axis=0) + state[k] for k, v in (("ed", ed), ("c", c), ("p", p), ("j", j))}
-            state = {k: v[-1] for k, v in sums.items()}
-            bottom = sums["c"] * sums["j"][:, None]
-            cos = np.divide(sums["p"] ** 2, bottom, out=np.zeros_like(bottom), where=bottom > 0)
-            out[0, a:b] = np.round(sums["ed"], DIGITS).argmin(axis=1)
-            out[1, a:b] = np.round(cos, DIGITS).argmax(axis=1)
-        return out[0], out[1]
-
-
-def class_counts(ranked: DataFrame, sizes: dict[int, int], method: str = "method_id") -> dict[int, ClassCounts]:
-    """Per method, from (method, rk, label, cnt). Bounded by the alphabet of words times the classes, not by the series."""
-    labels = sorted(sizes)
-    place = {c: i for i, c in enumerate(labels)}
-    out = {}
-    rows = ranked.toPandas()
-    for key, frame in rows.groupby(method):
-        counts = np.zeros((int(frame["rk"].max()), len(labels)))
-        counts[frame["rk"].to_numpy() - 1, frame["label"].map(place).to_numpy()] = frame["cnt"].to_numpy()
-        out[int(key)] = ClassCounts(counts, np.array([sizes[c] for c in labels]))
-    return out
+        ed, c = self.means[own].copy(), self.squares.copy()
+        p, j = np.zeros((width, classes)), np.zeros(width)
+        ed[at] = (left / n - x[:, None]) ** 2
+        c[at] = tfidf**2
+        p[at] = tfidf * tf[:, None]
+        j[at] = tf**2
+        before = np.split(state, [classes, 2 * classes, 3 * classes]) if len(state) else [0.0] * 4
+        return tuple(np.cumsum(v, axis=0) + b for v, b in zip((ed, c, p, j), before, strict=True))
+
+    @staticmethod
+    def predicted(ed: np.ndarray, c: np.ndarray, p: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class after each rank, by both similarities."""
+        bottom = c * j[:, None]
+        cos = np.divide(p**2, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+        return np.round(ed, DIGITS).argmin(axis=1), np.round(cos, DIGITS).argmax(axis=1)
+
+
+def _carried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows by method, series and chunk: the sum of the states of the chunks before."""
+    key, total = None, np.zeros(0)
+    for frame in frames:
+        states = []
+        for method, series, state in zip(frame["method_id"], frame["series_id"], frame["state"], strict=True):
+            if (method, series) != key:
+                key, total = (method, series), np.zeros(len(state))
+            states.append(total)
+            total = total + state
+        yield frame.assign(state=states)
 
 
 def sweep(
-    rows: DataFrame, counts: dict[int, ClassCounts], labels: list[int], at: dict[tuple[int, str], int] | None = None,
+    rows: DataFrame, ranked: DataFrame, sizes: dict[int, int], at: dict[tuple[int, str], int] | None = None,
     classes: dict[int, int] | None = None,
 ) -> DataFrame:
-    """rows: (method_id, series_id, label, ranks array, counts array), one per method and series.
+    """rows: (method_id, series_id, label, ranks array, counts array), one per method and series. ranked: (method_id, rk,
+    label, cnt). sizes: the series of each label.
+
+    Ranks are dealt out in chunks, and series in parts, so a task holds the counts of CHUNK words and the rows of
+    about SERIES series, whatever the number of words or series. Where there are several chunks, a first pass adds up
+    what each contributes for a series, and the second starts every chunk from the sums before it.
 
-    Without `at`: (method_id, sim, rk, n_correct), added up within each batch. With `at`, a rank per method and
+    Without `at`: (method_id, sim, rk, n_correct), added up within each task. With `at`, a rank per method and
     similarity: (method_id, sim, series_id, own, predicted) of those prefixes. classes: the class of each label, if the
     labels are subclasses; a prediction is right if its class is.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
-    names, place = np.array(labels), {c: i for i, c in enumerate(labels)}
+    labels = sorted(sizes)
+    names, place, n = np.array(labels), {c: i for i, c in enumerate(labels)}, np.array([sizes[c] for c in labels])
     truth = np.array([c if classes is None else classes[c] for c in labels])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            right: dict[tuple[int, str], np.ndarray] = {}
-            said = []
-            for method, series, label, ranks, xs in frame.itertuples(index=False):
-                known = shared.value[method]
-                got = known.sweep(place[label], np.asarray(ranks, dtype=np.int64) - 1, np.asarray(xs, dtype=np.float64))
-                for sim, predicted in zip(("ed", "cos"), got, strict=True):
-                    if at is None:
-                        key = (method, sim)
-                        right.setdefault(key, np.zeros(len(predicted), dtype=np.int64))
-                        right[key] += truth[predicted] == truth[place[label]]
-                    elif (method, sim) in at:
-                        said.append((method, sim, series, label, int(names[predicted[at[method, sim] - 1]])))
-            if at is None:
-                for (method, sim), n in right.items():
-                    yield pd.DataFrame({"method_id": method, "sim": sim, "rk": np.arange(1, len(n) + 1), "n_correct": n})
-            else:
-                yield pd.DataFrame(said, columns=["method_id", "sim", "series_id", "own", "predicted"])
-
+    parts = max(1, -(-sum(sizes.values()) // SERIES))
+    widths = cut(ranked.groupBy("method_id").agg(F.max("rk").alias("_width")))  # a row per method
+    most = widths.agg(F.max("_width")).first()[0] or 0
+    number = lambda rk: F.floor((rk - 1) / CHUNK).cast("int")
+    cells = ranked.select(
+        "method_id", number(F.col("rk")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rk", "label", "cnt"
+    )
+    pairs = F.filter(F.arrays_zip("ranks", "counts"), lambda e: number(e["ranks"]) == F.col("chunk"))
+    pieces = (
+        rows.join(F.broadcast(widths), "method_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), number(F.col("_width")))))
+        .withColumn("part", F.pmod(F.xxhash64("series_id"), F.lit(parts)).cast("int")).withColumn("_p", pairs)
+        .select("method_id", "chunk", "part", "series_id", "label", F.col("_p.ranks").alias("ranks"), F.col("_p.counts").alias("counts"))
+    )
+    key = ("method_id", "chunk", "part")
+
+    def each(known: pd.DataFrame, mine: pd.DataFrame) -> Iterator[tuple]:
+        """Per row: method, first rank of the chunk, series, label, and its running sums."""
+        if not len(known) or not len(mine):
+            return
+        method, chunk = int(mine["method_id"].iloc[0]), int(mine["chunk"].iloc[0])
+        first = chunk * CHUNK + 1
+        counts = np.zeros((int(known["rk"].max()) - first + 1, len(labels)))
+        counts[known["rk"].to_numpy() - first, known["label"].map(place).to_numpy()] = known["cnt"].to_numpy()
+        held = ClassCounts(counts, n)
+        states = mine["state"] if "state" in mine else [np.zeros(0)] * len(mine)
+        for series, label, ranks, xs, state in zip(mine["series_id"], mine["label"], mine["ranks"], mine["counts"], states, strict=True):
+            where = np.asarray(ranks, dtype=np.int64) - first
+            yield method, first, series, label, held.sums(place[label], where, np.asarray(xs, dtype=np.float64), np.asarray(state))
+
+    def add_up(known: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        out = [(m, first // CHUNK, s, np.concatenate([ed[-1], c[-1], p[-1], j[-1:]])) for m, first, s, _, (ed, c, p, j) in each(known, mine)]
+        return pd.DataFrame(out, columns=["method_id", "chunk", "series_id", "state"])
+
+    def predict(known: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        right: dict[str, np.ndarray] = {}
+        said, method, first = [], 0, 1
+        for method, first, series, label, sums in each(known, mine):
+            for sim, got in zip(("ed", "cos"), ClassCounts.predicted(*sums), strict=True):
+                if at is None:
+                    right[sim] = right.get(sim, 0) + (truth[got] == truth[place[label]])
+                elif first <= at.get((method, sim), 0) < first + len(got):
+                    said.append((method, sim, series, label, int(names[got[at[method, sim] - first]])))
+        if at is not None:
+            return pd.DataFrame(said, columns=["method_id", "sim", "series_id", "own", "predicted"])
+        frames = [
+            pd.DataFrame({"method_id": method, "sim": sim, "rk": np.arange(first, first + len(r)), "n_correct": r.astype(np.int64)})
+            for sim, r in right.items()
+        ]
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["method_id", "sim", "rk", "n_correct"])
+
+    dealt = cells.groupBy(*key)
+    if most > CHUNK:
+        totals = dealt.cogroup(pieces.groupBy(*key)).applyInPandas(add_up, "method_id int, chunk int, series_id long, state array<double>")
+        before = totals.repartition("method_id", "series_id").sortWithinPartitions("method_id", "series_id", "chunk")
+        before = cut(before.mapInPandas(_carried, totals.schema))
+        pieces = pieces.join(before, ["method_id", "chunk", "series_id"])
     schema = "method_id int, sim string, rk int, n_correct long" if at is None else "method_id int, sim string, series_id long, own int, predicted int"
-    return rows.select("method_id", "series_id", "label", "ranks", "counts").mapInPandas(run, schema)
+    return dealt.cogroup(pieces.groupBy(*key)).applyInPandas(predict, schema)
 
 
 def sweep_rows(bag: DataFrame, ranks: DataFrame, labels: DataFrame, methods: list[int]) -> DataFrame:

@@ -48,16 +48,18 @@ def sax(win: int, m: int, pad: bool = False) -> str:
     return f"{RUNNING}, {windows(win, columns, pad)}, coeffs AS (SELECT series_id, pos, {coeffs} FROM windowed)"
 
 
-def sla(win: int, m: int) -> str:
-    parts = segment_starts(win, m // 2)
+def sla(win: int, m: int, mean: str = "mean", std: str = "std", from_series: bool = False) -> str:
+    """mean, std: what is taken off and divided by. from_series: the time of a segment counts from the series' start."""
+    parts = segment_starts(win, (m + 1) // 2)
     columns = ", ".join(
         f"{between('s', a, b)} AS t{i}, {between('st', a, b)} - (pos + {a}) * {between('s', a, b)} AS u{i}" for i, (a, b) in enumerate(parts)
     )
     lines = ", ".join(
-        f"(u{i} - {(b - a - 1) / 2}::DOUBLE * t{i}) / ({(b - a) * ((b - a) ** 2 - 1) / 12}::DOUBLE * std) AS l{i}" for i, (a, b) in enumerate(parts)
+        f"(u{i} - {(b - a - 1) / 2}::DOUBLE * t{i}) / ({(b - a) * ((b - a) ** 2 - 1) / 12}::DOUBLE * {std}) AS l{i}" for i, (a, b) in enumerate(parts)
     )
+    middle = lambda a, b: f"(pos + {a + (b - a - 1) / 2}::DOUBLE)" if from_series else f"{(b - a - 1) / 2}::DOUBLE"
     coeffs = ", ".join(
-        f"l{i} AS c{2 * i}, (t{i} / {b - a}.0::DOUBLE - mean) / std - l{i} * {(b - a - 1) / 2}::DOUBLE AS c{2 * i + 1}" for i, (a, b) in enumerate(parts)
+        f"l{i} AS c{2 * i}, (t{i} / {b - a}.0::DOUBLE - {mean}) / {std} - l{i} * {middle(a, b)} AS c{2 * i + 1}" for i, (a, b) in enumerate(parts)
     )
     return f"{RUNNING}, {windows(win, columns)}, lines AS (SELECT *, {lines} FROM windowed), coeffs AS (SELECT series_id, pos, {coeffs} FROM lines)"
 
