@@ -274,7 +274,8 @@ def d3_equal_depth_by_series(spark, d):
     return _bounds_out(discretize.equal_depth(values, 3, ("series_id", "letter")), "series_id", "letter")
 
 
-@query()
+@query(Q.query(Q.EVENTS, Q.sax(WIN, SIZE), Q.long(SIZE, "pos % 20 = 0"), Q.LABELS, "labelled AS (SELECT letter, val, label FROM vals JOIN labels USING (series_id))",
+               Q.info_gain(CARD), _bounds_sql("letter")))
 def d4_info_gain_bounds(spark, d):
     values = _sampled(positions.sax(_points(spark, d), WIN, SIZE)).join(_labels(spark, d), "series_id").select("letter", "val", "label")
     return _bounds_out(discretize.info_gain_bounds(values, CARD), "letter")
@@ -552,7 +553,17 @@ def _numbered(spark, d):
     return bag, ranks, labels, cut(subclasses.subclass_ids(subclasses.clusters(subclasses.features(bag, ranks, labels))))
 
 
-@query()
+def _grid_words(win: int, cfg: int) -> str:
+    return f"SELECT {cfg} AS cfg_id, * FROM (WITH {Q.EMBEDDINGS}, {Q.sax(win, 4)}, {Q.words(4, 4, 2)}, {Q.BAG} SELECT series_id, word, cnt FROM bag)"
+
+
+EMBEDDED_BAG = f"""labels AS (SELECT vec_id AS series_id, label FROM embeddings), sizes AS (SELECT label, count(*) AS n FROM labels GROUP BY label), totals AS (SELECT sum(n) AS n_all FROM sizes),
+bag AS ({_grid_words(16, 0)} UNION ALL {_grid_words(32, 1)}), per AS (SELECT cfg_id, word, label, sum(cnt) AS s FROM bag JOIN labels USING (series_id) GROUP BY ALL),
+chi AS (SELECT cfg_id, word, sum(s * s * n_all / n) / sum(s) - sum(s) AS chi2 FROM per JOIN sizes USING (label), totals GROUP BY cfg_id, word),
+ranks AS (SELECT cfg_id, word, row_number() OVER (ORDER BY round(chi2, 9) DESC, cfg_id, word) AS rk FROM chi QUALIFY rk <= {subclasses.FEATURES})"""
+
+
+@query(Q.query(EMBEDDED_BAG, "SELECT series_id, label, string_agg(rk - 1, ',' ORDER BY rk) AS places, string_agg(cnt, ',' ORDER BY rk) AS counts FROM bag JOIN ranks USING (cfg_id, word) JOIN labels USING (series_id) GROUP BY series_id, label"))
 def x1_features(spark, d):
     return subclasses.features(*_embedded(spark, d)).select("series_id", "label", listed("places").alias("places"), listed("counts").alias("counts"))
 
@@ -649,10 +660,6 @@ def m4_variants(spark, d):
 # Scoring.
 
 
-def _grid_words(win: int, cfg: int) -> str:
-    return f"SELECT {cfg} AS cfg_id, * FROM (WITH {Q.EMBEDDINGS}, {Q.sax(win, 4)}, {Q.words(4, 4, 2)}, {Q.BAG} SELECT series_id, word, cnt FROM bag)"
-
-
 @query(f"{_grid_words(16, 0)} UNION ALL {_grid_words(32, 1)}")
 def r1_grid_bag(spark, d):
     return grid.grid_bag(S.embedding_series(spark, d), EMBEDDED).select("cfg_id", "series_id", "word", "cnt")

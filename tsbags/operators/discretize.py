@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsbags.functions.bits import append_bits, get_bits, num_bits, trim_bits
-from tsbags.functions.ranks import exact_ranks
+from tsbags.functions.ranks import exact_ranks, running_before
 from tsbags.operators.scores import f_statistic
+from tsbags.session import cut
 
 #: Cuts of the standard normal distribution into bins of equal probability, two decimals, by card.
 GAUSSIAN = {
@@ -61,57 +61,67 @@ def pooled(values: DataFrame, groups: dict[int, int]) -> DataFrame:
     return values.withColumn("letter", F.coalesce(F.element_at(lookup, F.col("letter")), F.col("letter")))
 
 
-def _entropy(counts: np.ndarray) -> float:
-    p = counts[counts > 0] / counts.sum() if counts.sum() else np.zeros(0)
-    return float(-(p * np.log2(p)).sum())
-
-
-def info_gain_splits(values: np.ndarray, labels: np.ndarray, bins: int, least: int = LEAST_BIN) -> list[float]:
-    """Breakpoints by recursive information gain, classes counted within each range. Ties in gain: the last split."""
-    order = np.argsort(values, kind="stable")
-    v, codes = values[order], np.unique(labels[order], return_inverse=True)[1]
-    hot = np.zeros((len(v) + 1, codes.max(initial=0) + 1))
-    np.cumsum(np.eye(hot.shape[1])[codes], axis=0, out=hot[1:])
-    cuts: list[int] = []
-
-    def split(a: int, b: int, left: int) -> None:
-        if b - a <= least or (hot[b] - hot[a] > 0).sum() <= 1:
-            return
-        best, at = -1.0, -1
-        for i in np.flatnonzero(v[a + 1 : b] != v[a : b - 1]) + a + 1:
-            below, above = hot[i] - hot[a], hot[b] - hot[i]
-            gain = _entropy(hot[b] - hot[a]) - ((i - a) * _entropy(below) + (b - i) * _entropy(above)) / (b - a)
-            if gain >= best:
-                best, at = gain, int(i)
-        if at < 0:
-            return
-        cuts.append(at)
-        left //= 2
-        if left <= 1:
-            return
-        if at - a >= least and b - at >= least:
-            parts = (a, at, b)
-        elif b - at > 2 * least:
-            parts = (at, at + (b - at) // 2, b)
-        elif at - a > 2 * least:
-            parts = (a, a + (at - a) // 2, at)
-        else:
-            return
-        split(parts[0], parts[1], left)
-        split(parts[1], parts[2], left)
-
-    split(0, len(v), bins)
-    return sorted({float(v[i]) for i in cuts if i < len(v) - least + 1})[: bins - 1]
-
+def _n_log_n(n: Column) -> Column:
+    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
 
-def info_gain_bounds(values: DataFrame, card: int) -> DataFrame:
-    """(letter, bounds) of (letter, val, label): supervised breakpoints. A letter's values have to fit in a task."""
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        cuts = info_gain_splits(frame["val"].to_numpy(), frame["label"].to_numpy(), card)
-        return pd.DataFrame({"letter": [frame["letter"].iloc[0]], "bounds": [cuts]})
+def _best_splits(runs: DataFrame, intervals: DataFrame, least: int, digits: int) -> DataFrame:
+    """(letter, a, b, gain, at, split): the best split of each interval [a, b) of places, ties to the later one.
 
-    return values.groupBy("letter").applyInPandas(fit, "letter int, bounds array<double>")
+    An interval has to hold over `least` rows and two classes. With f(n) = n log2 n, the entropies below and above a
+    split are those of the interval plus what every run of equal (val, label) moves from one side to the other, so one
+    running sum over the values serves all classes.
+    """
+    inside = runs.join(F.broadcast(intervals), "letter").filter((F.col("start") < F.col("b")) & (F.col("start") + F.col("c") > F.col("a")))
+    skipped = F.greatest(F.col("a") - F.col("start"), F.lit(0))
+    rows = F.least(F.col("b") - F.col("start"), F.col("c")) - skipped
+    clipped = inside.select("letter", "a", "b", "_range", "val", "label", F.greatest("start", "a").alias("at"), (F.col("seen") + skipped).alias("seen"), rows.alias("c"))
+    interval = ["letter", "a", "b"]
+    held = clipped.groupBy(*interval, "label").agg(F.sum("c").alias("all"), F.min("seen").alias("earlier"))
+    mixed = held.groupBy(*interval).agg(F.count("*").alias("classes")).filter((F.col("classes") > 1) & (F.col("b") - F.col("a") > least))
+    held = held.join(mixed.drop("classes"), interval)
+    x, c = F.col("seen") - F.col("earlier"), F.col("c")
+    moved = _n_log_n(x + c) - _n_log_n(x) + _n_log_n(F.col("all") - x - c) - _n_log_n(F.col("all") - x)
+    steps = clipped.join(F.broadcast(held), [*interval, "label"]).groupBy(*interval, "_range", "val").agg(
+        F.min("at").alias("at"), F.sum(moved).alias("moved"))
+    summed = running_before(steps, interval, ["val"], "moved", "so_far").filter(F.col("at") > F.col("a"))
+    n, below, above = F.col("b") - F.col("a"), F.col("at") - F.col("a"), F.col("b") - F.col("at")
+    gain = (_n_log_n(n) - _n_log_n(below) - _n_log_n(above) + F.col("so_far")) / n
+    best = summed.groupBy(*interval).agg(F.max(F.struct(F.round(gain, digits).alias("gain"), "at", F.col("val").alias("split"))).alias("s"))
+    return best.select(*interval, "s.*")
+
+
+def _pieces(least: int) -> Column:
+    """What a split interval is cut into next: its two sides, or the halves of the larger one where the other is short."""
+    left, right = F.col("at") - F.col("a"), F.col("b") - F.col("at")
+    low, high = F.when(left >= right, F.col("a")).otherwise(F.col("at")), F.when(left >= right, F.col("at")).otherwise(F.col("b"))
+    middle = (low + F.floor((high - low) / 2)).cast("long")
+    two = lambda a, i, b: F.array(F.struct(a.alias("a"), i.alias("b")), F.struct(i.alias("a"), b.alias("b")))
+    return F.when(F.least(left, right) >= least, two(F.col("a"), F.col("at"), F.col("b"))).when(high - low > 2 * least, two(low, middle, high))
+
+
+def info_gain_bounds(values: DataFrame, card: int, least: int = LEAST_BIN, digits: int = 9) -> DataFrame:
+    """(letter, bounds) of (letter, val, label): breakpoints by recursive information gain, classes counted per interval.
+
+    One round per level of the recursion, for all letters at once: rows are counted per (val, label) and dealt out by
+    ranges of values, so a letter of any size is spread over tasks. Equal values are ordered by label where an interval
+    is halved within them. Gains are compared rounded; at most card - 1 breakpoints are kept, none among the last rows
+    of a letter. Nulls take no part; a letter without any breakpoint has an empty list. What is broadcast has at most
+    letters x card x classes rows.
+    """
+    counted = values.filter("val IS NOT NULL AND label IS NOT NULL").groupBy("letter", "val", "label").agg(F.count("*").alias("c"))
+    ranged = cut(counted.repartitionByRange("letter", "val").withColumn("_range", F.spark_partition_id()))
+    placed = running_before(ranged, ["letter"], ["val", "label"], "c", "start")
+    runs = cut(running_before(placed, ["letter", "label"], ["val"], "c", "seen"))
+    sizes = cut(runs.groupBy("letter").agg(F.sum("c").alias("n")))
+    intervals, found = sizes.select("letter", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")), None
+    for _ in range(max(card.bit_length() - 1, 1)):
+        best = cut(_best_splits(runs, intervals, least, digits))
+        found = best if found is None else found.unionByName(best)
+        intervals = best.select("letter", F.explode(_pieces(least)).alias("p")).select("letter", "p.a", "p.b")
+    kept = found.join(F.broadcast(sizes), "letter").filter(F.col("at") <= F.col("n") - least)
+    bounds = kept.groupBy("letter").agg(F.slice(F.array_sort(F.collect_set("split")), 1, card - 1).alias("bounds"))
+    return sizes.select("letter").join(F.broadcast(bounds), "letter", "left").select("letter", F.coalesce("bounds", F.array().cast("array<double>")).alias("bounds"))
 
 
 def class_entropy(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

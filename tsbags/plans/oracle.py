@@ -91,6 +91,30 @@ bounds AS (SELECT {keys}, coalesce(list_sort(list_distinct(list(val) FILTER (pla
  FROM binned GROUP BY {keys})"""
 
 
+def info_gain(card: int, least: int = 3) -> str:
+    """bounds (letter, bounds DOUBLE[]) of labelled (letter, val, label): every level of the recursion is a set of CTEs."""
+    levels = max(card.bit_length() - 1, 1)
+    parts = ["""placed AS (SELECT letter, val, label, row_number() OVER w - 1 AS place, lag(val) OVER w AS prev FROM labelled
+ WINDOW w AS (PARTITION BY letter ORDER BY val, label))""", "lengths AS (SELECT letter, count(*) AS n FROM placed GROUP BY letter)",
+             "iv0 AS (SELECT letter, 0::BIGINT AS a, n AS b FROM lengths)"]
+    for k in range(levels):
+        parts.append(f"""cand{k} AS (SELECT letter, a, b, place AS i, val AS split FROM iv{k} JOIN placed USING (letter) WHERE place > a AND place < b AND val <> prev AND b - a > {least}),
+sides{k} AS (SELECT c.letter, a, b, i, split, label, sum((place < i)::INT)::DOUBLE AS lo, sum((place >= i)::INT)::DOUBLE AS hi
+ FROM cand{k} c JOIN placed p ON c.letter = p.letter AND place >= a AND place < b GROUP BY ALL),
+shares{k} AS (SELECT *, lo + hi AS t, (i - a)::DOUBLE AS nlo, (b - i)::DOUBLE AS nhi, (b - a)::DOUBLE AS n FROM sides{k}),
+gains{k} AS (SELECT letter, a, b, i, split, sum(-t / n * log2(t / n)) - sum(CASE WHEN lo > 0 THEN -lo / nlo * log2(lo / nlo) ELSE 0 END) * any_value(nlo / n)
+ - sum(CASE WHEN hi > 0 THEN -hi / nhi * log2(hi / nhi) ELSE 0 END) * any_value(nhi / n) AS gain FROM shares{k} GROUP BY letter, a, b, i, split HAVING count(*) > 1),
+best{k} AS (SELECT * FROM gains{k} QUALIFY row_number() OVER (PARTITION BY letter, a, b ORDER BY round(gain, 9) DESC, i DESC) = 1),
+big{k} AS (SELECT *, CASE WHEN i - a >= b - i THEN a ELSE i END AS low, CASE WHEN i - a >= b - i THEN i ELSE b END AS high FROM best{k}),
+iv{k + 1} AS (SELECT letter, a, i AS b FROM big{k} WHERE least(i - a, b - i) >= {least} UNION ALL SELECT letter, i, b FROM big{k} WHERE least(i - a, b - i) >= {least}
+ UNION ALL SELECT letter, low, low + (high - low) // 2 FROM big{k} WHERE least(i - a, b - i) < {least} AND high - low > {2 * least}
+ UNION ALL SELECT letter, low + (high - low) // 2, high FROM big{k} WHERE least(i - a, b - i) < {least} AND high - low > {2 * least})""")
+    every = " UNION ALL ".join(f"SELECT letter, i, split FROM best{k}" for k in range(levels))
+    parts.append(f"""every AS ({every}),
+bounds AS (SELECT letter, list_sort(list_distinct(list(split)))[1:{card - 1}] AS bounds FROM every JOIN lengths USING (letter) WHERE i <= n - {least} GROUP BY letter)""")
+    return ", ".join(parts)
+
+
 BAG = """kept AS (SELECT *, lag(word) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM words),
 bag AS (SELECT series_id, word, count(*) AS cnt FROM kept WHERE before IS NULL OR before <> word GROUP BY series_id, word)"""
 CLASSES = "classes AS (SELECT word, label, CAST(sum(cnt) AS BIGINT) AS cnt FROM bag JOIN labels USING (series_id) GROUP BY word, label)"
