@@ -85,11 +85,49 @@ def test_equal_depth_never_has_too_many_bins(spark, n):
         assert [r.bounds for r in rows] == ([want] if n else [])
 
 
-def test_info_gain_splits():
-    v = np.array([1.0, 2, 3, 10, 11, 12, 20, 21, 22, 30, 31, 32])
-    assert discretize.info_gain_splits(v, np.array([0] * 6 + [1] * 6), 2) == [20.0]
-    assert discretize.info_gain_splits(v, np.array([0] * 3 + [1] * 3 + [2] * 3 + [3] * 3), 4) == [10.0, 20.0, 30.0]
-    assert discretize.info_gain_splits(np.ones(9), np.arange(9) % 2, 4) == []
+def splits_by_queue(pairs, bins, least=3):
+    """Supervised breakpoints of sorted (value, label) pairs, every split tried from its class counts."""
+    def entropy(part):
+        shares = np.unique([label for _, label in part], return_counts=True)[1] / len(part)
+        return float(-(shares * np.log2(shares)).sum())
+
+    found, level, left = [], [(0, len(pairs))], bins
+    while level:
+        below = []
+        for a, b in level:
+            part = pairs[a:b]
+            places = [i for i in range(a + 1, b) if pairs[i][0] != pairs[i - 1][0]]
+            if b - a <= least or len({label for _, label in part}) < 2 or not places:
+                continue
+            gain = lambda i: round(entropy(part) - ((i - a) * entropy(pairs[a:i]) + (b - i) * entropy(pairs[i:b])) / (b - a), 9)  # noqa: B023, E731
+            at = max(places, key=lambda i: (gain(i), i))
+            found.append(at)
+            low, high = max([(a, at), (at, b)], key=lambda side: side[1] - side[0])
+            middle = at if min(at - a, b - at) >= least else (low + high) // 2 if high - low > 2 * least else None
+            if middle is not None:
+                below += [(a, at), (at, b)] if middle == at else [(low, middle), (middle, high)]
+        left //= 2
+        level = below if left > 1 else []
+    return sorted({pairs[i][0] for i in found if i <= len(pairs) - least})[: bins - 1]
+
+
+def test_info_gain_bounds(spark):
+    v = [float(x) for x in (1, 2, 3, 10, 11, 12, 20, 21, 22, 30, 31, 32)]
+    rng = np.random.default_rng(3)
+    groups = {
+        0: list(zip(v, [0] * 3 + [1] * 3 + [2] * 3 + [3] * 3, strict=True)), 1: [(1.0, i % 2) for i in range(9)], 2: [(1.0, 0)],
+        3: [(float(x), int(y)) for x, y in zip(rng.integers(0, 40, 500), rng.integers(0, 3, 500), strict=True)],  # ties
+        4: [(float(x), int(x > 0.3) + int(x > 1)) for x in rng.normal(size=400)],
+        5: [(7.0, 0)] * 300 + [(float(x), 1) for x in range(30)],  # one value holds most rows
+    }
+    rows = [(k, x, y) for k, pairs in groups.items() for x, y in pairs]
+    got = {}
+    for card in (2, 4, 8):
+        frame = spark.createDataFrame([*rows, (0, None, 1), (0, 1.5, None)], "letter int, val double, label int")
+        got[card] = {r["letter"]: r["bounds"] for r in discretize.info_gain_bounds(frame, card).collect()}
+        assert got[card] == {k: splits_by_queue(sorted(pairs), card) for k, pairs in groups.items()}
+    assert got[4][0] == [10.0, 20.0, 30.0] and got[4][1] == got[4][2] == []
+    assert discretize.info_gain_bounds(spark.createDataFrame([], "letter int, val double, label int"), 4).count() == 0
 
 
 def fill_by_recursion(words, stride):
@@ -249,6 +287,19 @@ def test_x_means_splits_what_is_apart():
     assert (subclasses.x_means(np.ones((12, 2))) == 0).all()
 
 
+def test_a_class_beyond_one_task(spark):
+    rng = np.random.default_rng(11)
+    noise = lambda k: [float(x) for x in rng.normal(size=k)]
+    rows = [(4, 100 + i, label, [3 + i % 3, *range(6, 14)], [50.0, *noise(8)]) for label, n in ((0, 90), (1, 60), (2, 4)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "method_id int, series_id long, label int, places array<long>, counts array<double>")
+    for cells in (subclasses.CELLS, 400, 1):
+        got = {(r["label"], r["series_id"]): r["cluster"] for r in subclasses.clusters(frame, cells=cells).collect()}
+        assert len(got) == len(rows) and {got[2, 100 + i] for i in range(4)} == {0}
+        for label, n in ((0, 90), (1, 60)):
+            parts = [{got[label, 100 + i] for i in range(n) if i % 3 == k} for k in range(3)]
+            assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 3
+
+
 def test_bits(spark):
     w = F.lit(0b110101).cast("long")
     row = spark.range(1).select(

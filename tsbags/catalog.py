@@ -587,6 +587,41 @@ def x4_subclass_sweep(spark, d):
     return subclasses.to_classes(said.drop("own"), numbered).join(labels, "series_id").select("series_id", "sim", "label", "predicted")
 
 
+#: Clusters given by rule, so that SQL can follow: even classes have two, by the parity of the series. 10 x class +
+#: cluster has the order of the subclasses' numbers; words of both configurations are told apart by their upper bits.
+GIVEN_BAG = f"""plain AS (SELECT vec_id AS series_id, label FROM embeddings), plain_sizes AS (SELECT label, count(*) AS n FROM plain GROUP BY label),
+bag AS (SELECT series_id, cfg_id * 65536 + word AS word, cnt FROM ({_grid_words(16, 0)} UNION ALL {_grid_words(32, 1)})),
+per AS (SELECT word, label, sum(cnt) AS s FROM bag JOIN plain USING (series_id) GROUP BY ALL),
+chi AS (SELECT word, sum(s * s * (SELECT sum(n) FROM plain_sizes) / n) / sum(s) - sum(s) AS chi2 FROM per JOIN plain_sizes USING (label) GROUP BY word),
+ranks AS (SELECT word, row_number() OVER (ORDER BY round(chi2, 9) DESC, word) AS rk FROM chi),
+labels AS (SELECT series_id, label * 10 + CASE WHEN label % 2 = 0 THEN series_id % 2 ELSE 0 END AS label FROM plain),
+sizes AS (SELECT label, count(*) AS n FROM labels GROUP BY label)"""
+
+
+def _given(spark, d):
+    """bag, ranks, labels and numbered subclasses."""
+    bag, ranks, labels = _embedded(spark, d)
+    cluster = F.when(F.col("label") % 2 == 0, F.col("series_id") % 2).otherwise(0).cast("int")
+    return bag, ranks, labels, cut(subclasses.subclass_ids(labels.select(F.lit(4).alias("method_id"), "series_id", "label", cluster.alias("cluster"))))
+
+
+@query("""WITH c AS (SELECT vec_id AS series_id, label, CASE WHEN label % 2 = 0 THEN vec_id % 2 ELSE 0 END AS cluster FROM embeddings)
+SELECT series_id, label, (dense_rank() OVER (ORDER BY label, cluster) - 1)::INT AS subclass, (SELECT count(DISTINCT (label, cluster)) = count(DISTINCT label) FROM c) AS unsplit FROM c""")
+def x3_subclass_ids_given(spark, d):
+    *_, numbered = _given(spark, d)
+    return numbered.join(F.broadcast(subclasses.unsplit(numbered)), "method_id").select("series_id", "label", "subclass", "unsplit")
+
+
+@query(Q.query(GIVEN_BAG, Q.CLASSES, Q.TERMS, Q.PREDICTED.replace("(label = own)", "(label // 10 = own // 10)"),
+               "said AS (SELECT 'ed' AS sim, * FROM ed UNION ALL SELECT 'cos', * FROM cosine)",
+               "SELECT series_id, sim, (own // 10)::INT AS label, (said.label // 10)::INT AS predicted FROM said JOIN best USING (sim) WHERE rk = n_selected"))
+def x4_subclass_sweep_given(spark, d):
+    bag, ranks, labels, numbered = _given(spark, d)
+    of = {r["subclass"]: r["label"] for r in numbered.select("subclass", "label").distinct().collect()}  # a row per subclass
+    _, said = swept(bag, ranks, cut(numbered.select("series_id", F.col("subclass").alias("label"))), of)
+    return subclasses.to_classes(said.drop("own"), numbered).join(labels, "series_id").select("series_id", "sim", "label", "predicted")
+
+
 # Ensembles, on predictions made by rule from the embeddings: method m takes component m.
 
 MADE = """each AS (SELECT vec_id AS series_id, label AS own, unnest(range(len(embedding)))::INT AS method_id, abs(round(unnest(embedding)::DOUBLE * 1000000))::BIGINT AS v FROM embeddings),
