@@ -287,6 +287,21 @@ def test_x_means_splits_what_is_apart():
     assert (subclasses.x_means(np.ones((12, 2))) == 0).all()
 
 
+def test_a_series_beyond_one_task(spark):
+    rng = np.random.default_rng(5)
+    walk = lambda n: [float(v) for v in np.repeat(np.cumsum(rng.integers(-9, 10, n)), rng.integers(1, 6, n))[:n]]
+    rows = [(i, walk(n)) for i, n in enumerate((0, 3, 59, 60, 61, 200, 397, 1000))]
+    series = spark.createDataFrame(rows, "series_id long, values array<double>")
+    configs = [
+        grid.Config(i, kind, 4, win, 4, fill) for i, (kind, win, fill) in enumerate(
+            (k, w, f) for k in ("sax", "sla") for w in (8, 13, 15) for f in (False, True))
+    ]
+    bag = lambda points: sorted(map(tuple, grid.grid_bag(series, configs, {c.cfg_id: [[-0.5, 0.0, 0.5]] * c.letters for c in configs}, points).collect()))
+    assert bag(60) == bag(1) == bag(10_000)
+    values = lambda points: sorted((r[0], r[1], round(r[2], 9)) for r in grid.sampled_coeffs(series, configs, points).collect())
+    assert values(60) == values(10_000)
+
+
 def test_a_class_beyond_one_task(spark):
     rng = np.random.default_rng(11)
     noise = lambda k: [float(x) for x in rng.normal(size=k)]

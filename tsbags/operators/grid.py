@@ -1,7 +1,9 @@
 """Bags of many configurations in one pass over the series: NumPy prefix sums inside tasks, only bag rows come out.
 
-Windows and coefficients (series x positions x configurations) never leave the task. A series is one row and its prefix
-sums are held whole, some 100 bytes a point: about ten million points a series are what a task holds with ease.
+Windows and coefficients (series x positions x configurations) never leave the task. A series is one row; one of over
+POINTS points is cut into pieces that overlap by the widest window, and the counts of its pieces are added up. The words
+are those of the whole series, local filling and collapsed repeats included: a piece answers for windows between two
+multiples of the window length, where filling starts anew, and sees the stretch before them.
 """
 
 from __future__ import annotations
@@ -12,11 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tsbags.functions.bits import num_bits
 from tsbags.functions.positions import lines_of, segment_starts
 from tsbags.operators.discretize import GAUSSIAN, fill_local
 
+#: Points of a series that one task takes; prefix sums take some 100 bytes a point.
+POINTS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -66,13 +72,44 @@ def words_of(x: np.ndarray, c: Config, bounds: list[np.ndarray]) -> np.ndarray:
     return fill_local(word, c.win) if c.fill else word
 
 
-def bag_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and counts, repeats collapsed."""
-    kept = words[np.r_[True, words[1:] != words[:-1]]]
-    return np.unique(kept, return_counts=True)
+def bag_of(words: np.ndarray, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the places from start to end, repeats collapsed, also those of the word before the start."""
+    new = np.r_[True, words[1:] != words[:-1]][start:end]
+    return np.unique(words[start:end][new], return_counts=True)
+
+
+def _pieces(series: DataFrame, configs: list[Config], points: int) -> tuple[DataFrame, DataFrame]:
+    """Whole series and pieces of longer ones: (series_id, n, first, upto, offset, values), where a piece answers for
+    windows from about `first` to `upto` and its values begin at `offset`."""
+    widest = max((c.win for c in configs), default=1)
+    step = max(points, 4 * widest)
+    sized = series.select("series_id", F.size("values").cast("long").alias("n"), "values")
+    zero = F.lit(0).cast("long")
+    whole = sized.filter(F.col("n") <= step).select("series_id", "n", zero.alias("first"), F.col("n").alias("upto"), zero.alias("offset"), "values")
+    starts = sized.filter(F.col("n") > step).withColumn("first", F.explode(F.sequence(zero, F.col("n") - 1, F.lit(step).cast("long"))))
+    upto, offset = F.least(F.col("first") + step, F.col("n")), F.greatest(F.col("first") - widest, zero)
+    part = F.slice("values", (offset + 1).cast("int"), (upto + 2 * widest - offset).cast("int"))
+    cut = starts.select("series_id", "n", "first", upto.alias("upto"), offset.alias("offset"), part.alias("values"))
+    return whole, cut.repartition("series_id", "first")
+
 
+def _piece(row: tuple, c: Config) -> tuple[np.ndarray, int, int]:
+    """The points that a piece needs for its windows, and the places of these among all windows of the points."""
+    _, n, first, upto, offset, values = row
+    windows = max(n - c.win + 1, 1)
+    low, high = (min(-(-i // c.win) * c.win, windows) for i in (first, upto))
+    high = windows if upto == n else high
+    begin = max(low - c.win, 0)
+    return np.asarray(values)[begin - offset : min(high, windows - 1) + c.win - offset], low - begin, high - begin
 
-def grid_bag(series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None) -> DataFrame:
+
+def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*(frame[k] for k in ("series_id", "n", "first", "upto", "offset", "values")), strict=True)
+
+
+def grid_bag(
+    series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, points: int = POINTS
+) -> DataFrame:
     """(cfg_id, series_id, word, cnt) for (series_id, values). bounds: per cfg_id, where they aren't the Gaussian ones."""
     bounds = bounds or {}
 
@@ -81,28 +118,36 @@ def grid_bag(series: DataFrame, configs: list[Config], bounds: dict[int, list[li
             c.cfg_id: [np.asarray(b) for b in bounds.get(c.cfg_id) or [GAUSSIAN[c.card]] * c.letters] for c in configs
         }
         for frame in frames:
-            for series_id, values in zip(frame["series_id"], frame["values"], strict=True):
+            for row in _rows(frame):
                 parts = []
                 for c in configs:
-                    words, counts = bag_of(words_of(values, c, known[c.cfg_id]))
-                    parts.append(pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": series_id, "word": words, "cnt": counts}))
+                    x, low, high = _piece(row, c)
+                    if low < high:
+                        words, counts = bag_of(words_of(x, c, known[c.cfg_id]), low, high)
+                        parts.append(pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": row[0], "word": words, "cnt": counts}))
                 if parts:
                     yield pd.concat(parts, ignore_index=True)
 
-    return series.select("series_id", "values").mapInPandas(run, "cfg_id int, series_id long, word long, cnt long")
+    schema = "cfg_id int, series_id long, word long, cnt long"
+    whole, cut = _pieces(series, configs, points)
+    added = cut.mapInPandas(run, schema).groupBy("cfg_id", "series_id", "word").agg(F.sum("cnt").alias("cnt"))
+    return whole.mapInPandas(run, schema).unionByName(added)
 
 
-def sampled_coeffs(series: DataFrame, configs: list[Config]) -> DataFrame:
+def sampled_coeffs(series: DataFrame, configs: list[Config], points: int = POINTS) -> DataFrame:
     """(cfg_id, letter, val) of the windows that don't overlap: what breakpoints are learned from."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for values in frame["values"]:
+            for row in _rows(frame):
                 for c in configs:
-                    coeffs = coefficients(values, c)[:: c.win]
-                    rows, letters = coeffs.shape
-                    yield pd.DataFrame({
-                        "cfg_id": np.int32(c.cfg_id), "letter": np.tile(np.arange(letters, dtype=np.int32), rows), "val": coeffs.ravel()
-                    })
-
-    return series.select("values").mapInPandas(run, "cfg_id int, letter int, val double")
+                    x, low, high = _piece(row, c)
+                    if low < high:
+                        coeffs = coefficients(x, c)[low : high : c.win]
+                        places, letters = coeffs.shape
+                        yield pd.DataFrame({
+                            "cfg_id": np.int32(c.cfg_id), "letter": np.tile(np.arange(letters, dtype=np.int32), places), "val": coeffs.ravel()
+                        })
+
+    whole, cut = _pieces(series, configs, points)
+    return whole.unionByName(cut).mapInPandas(run, "cfg_id int, letter int, val double")
