@@ -118,13 +118,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     labelled = based.select(F.explode(F.array(
         F.struct(F.lit(1).alias("random"), values.alias("xs")), F.struct(F.lit(0).alias("random"), words.alias("xs"))
     )).alias("l")).select("l.random", F.explode("l.xs").alias("token"))
-    chars = F.regexp_extract_all(F.concat(F.lit(" "), F.col("token")), F.lit("(?s)."), F.lit(0))
+    tokens = labelled.groupBy("random", "token").agg(F.count("*").alias("times"))  # a word's pairs are taken once
+    chars = F.split(F.concat(F.lit(" "), F.col("token")), "")
     pairs = (
-        labelled.withColumn("chars", chars)
-        .select("random", F.explode(F.zip_with(
+        tokens.withColumn("chars", chars)
+        .select("random", "times", F.explode(F.zip_with(
             F.slice("chars", F.lit(1), F.size("chars") - 1), F.slice("chars", F.lit(2), F.size("chars") - 1), lambda a, b: F.concat(a, b)
         )).alias("pair"))
-        .groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
+        .groupBy("random", "pair").agg(F.sum("times").alias("n")).collect()
     )
     place = {c: i for i, c in enumerate(" " + ALPHABET)}
     size = len(place)
@@ -145,7 +146,7 @@ def ratio(token: Column, model: Markov) -> Column:
     """The log-likelihood ratio of a token."""
     weights = F.split(F.lit(" ".join(map(str, model.weights))), " ").cast("array<double>")
     code = F.split(F.lit(" ".join(str(ALPHABET.find(chr(i)) + 1) for i in range(128))), " ").cast("array<int>")
-    chars = F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0))
+    chars = F.split(token, "")
     total = F.aggregate(
         chars, F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum")),
         lambda a, c: F.struct(
@@ -162,8 +163,10 @@ def scan(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
     based = with_base(docs.select(*names), text).withColumn(
         "base_spans", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))
     )
-    token = f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}{{{TOKEN_CHARS},}}+"
-    found = _with_spans(based, "_markov", "markov", token, f"{TOKEN_CLASS}{{{TOKEN_CHARS}}}", False, TOKEN_CHARS)
+    start = f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}"  # only starts of tokens are tried
+    found = _with_spans(
+        based, "_markov", "markov", f"{start}{{{TOKEN_CHARS},}}+", f"{start}{{{TOKEN_CHARS}}}", False, TOKEN_CHARS
+    )
     added = F.filter(
         "_markov",
         lambda t: F.rlike(t["value"], F.lit("[A-Za-z]"))
