@@ -28,22 +28,33 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def winner(key: Column, weights: Sequence[float]) -> Column:
-    """The shard number that wins the key."""
+def costs(key: Column, weights: Sequence[float]) -> Column:
+    """array<struct<cost, s>>: what each shard bids for the key."""
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a positive weight")
     name = F.coalesce(key.cast("string"), F.lit(""))
-    costs = F.transform(
+    return F.transform(
         F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(s).alias("s")) for s, w in enumerate(weights)]),
         lambda x: F.struct((-F.log(uniform(name, x["s"].cast("string"))) / x["w"]).alias("cost"), x["s"].alias("s")),
     )
-    return F.array_min(costs)["s"]
+
+
+def winner(key: Column, weights: Sequence[float]) -> Column:
+    """The shard number that wins the key."""
+    return F.array_min(costs(key, weights))["s"]
 
 
 def place(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] = ()) -> DataFrame:
-    """Adds `shard`, and `grown_shard` for the longer weight list if one is given. No shuffle."""
-    out = df.withColumn("shard", winner(F.col(key), weights))
-    return out.withColumn("grown_shard", winner(F.col(key), grown)) if grown else out
+    """Adds `shard`, and `grown_shard` for the longer weight list if one is given. No shuffle.
+
+    Where the longer list begins with the shorter one, a key's numbers are drawn once for both.
+    """
+    if not weights or list(grown[: len(weights)]) != list(weights):
+        out = df.withColumn("shard", winner(F.col(key), weights))
+        return out.withColumn("grown_shard", winner(F.col(key), grown)) if grown else out
+    held = df.withColumn("_costs", costs(F.col(key), grown))
+    first = F.array_min(F.slice("_costs", 1, len(weights)))["s"]
+    return held.withColumn("shard", first).withColumn("grown_shard", F.array_min("_costs")["s"]).drop("_costs")
 
 
 def number(df: DataFrame, order: Sequence[str], rows_per_task: int = SLOT_ROWS) -> DataFrame:
