@@ -209,6 +209,10 @@ def test_scores_in_sparse_form_equal_dense_ones(spark):
         observed = np.array([v[y == c].sum() for c in range(3)])
         assert math.isclose(chi[w], ((observed - expected) ** 2 / expected).sum(), rel_tol=1e-9, abs_tol=1e-9)
     assert f[5] == 0.0
+    first = scores.rank_words(scores.f_statistic(df, ["word"], "cnt", sizes, perfect=math.inf), "f", []).filter("rk = 1").first()
+    assert (first.word, first.f) == (5, math.inf)
+    one_each = spark.createDataFrame([(c, 1) for c in range(3)], "label int, n long")  # as many classes as series
+    assert {r.f for r in scores.f_statistic(df.filter("series_id < 3"), ["word"], "cnt", one_each, perfect=math.inf).collect()} <= {0.0}
 
 
 def naive_sweep(counts, y, j, classes):

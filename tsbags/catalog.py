@@ -447,6 +447,19 @@ def e2_f_statistic_columns(spark, d):
     return scores.f_statistic(rows.select("label", F.posexplode("values").alias("dim", "val")), ["dim"], "val", S.class_sizes(rows)).select("dim", *six("f"))
 
 
+@query(Q.query("labelled AS (SELECT label, unnest(range(len(embedding)))::INT AS word, round(unnest(embedding)::DOUBLE * 1000000) AS val FROM embeddings UNION ALL SELECT label, -1, label FROM embeddings)",
+               "sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)", "totals AS (SELECT sum(n) AS n_all, count(*) AS classes FROM sizes)", Q.f_stat("word", "val", "labelled"),
+               "said AS (SELECT word, f, x2 - g <= greatest(1.0, x2) * 1e-9 AND g - t * t / n_all > greatest(1.0, x2) * 1e-9 AND n_all > classes AND classes > 1 AS perfect FROM scored JOIN added USING (word))",
+               "SELECT word, perfect, round(f, 6) AS f, (row_number() OVER (ORDER BY perfect DESC, round(f, 9) DESC, word))::INT AS rk FROM said WHERE perfect OR f > 0"))
+def e1_f_statistic_perfect_first(spark, d):
+    """Beside the columns, the label itself is a value, which separates the classes perfectly."""
+    rows = S.embedding_series(spark, d)
+    values = rows.select("label", F.posexplode("values").alias("word", "val")).union(rows.select("label", F.lit(-1), F.col("label").cast("double")))
+    ranked = scores.rank_words(scores.f_statistic(values, ["word"], "val", S.class_sizes(rows), perfect=float("inf")), "f", [], drop_zero=True)
+    perfect = F.col("f") == float("inf")
+    return ranked.select("word", perfect.alias("perfect"), F.when(perfect, 0.0).otherwise(F.round("f", 6)).alias("f"), "rk")
+
+
 @query(Q.query(*CLASSES, "per AS (SELECT word, cnt AS s, n, n_all FROM classes JOIN sizes USING (label), totals)",
                "SELECT word, round(sum(s * s * n_all / n) / sum(s) - sum(s), 6) AS chi2 FROM per GROUP BY word"))
 def e3_chi2(spark, d):

@@ -17,18 +17,20 @@ def _per_class(rows: DataFrame, keys: list[str], value: str, sizes: DataFrame) -
     return sums.join(F.broadcast(sizes), "label").join(F.broadcast(totals))
 
 
-def f_statistic(rows: DataFrame, keys: list[str], value: str, sizes: DataFrame) -> DataFrame:
-    """(keys, f) of (keys, label, value). A spread within the classes of 1e-9 or less of all, which may be rounding, or
-    as many classes as series, scores 0."""
+def f_statistic(rows: DataFrame, keys: list[str], value: str, sizes: DataFrame, perfect: float = 0.0) -> DataFrame:
+    """(keys, f) of (keys, label, value). As many classes as series score 0. What separates the classes with a spread
+    within them of 1e-9 or less of all, which may be rounding, scores `perfect`: infinity puts it first."""
     each = _per_class(rows, keys, value, sizes)
     sums = each.groupBy(*keys, "n_all", "classes").agg(
         F.sum("s").alias("t"), F.sum("s2").alias("x2"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("g")
     )
     between = F.col("g") - F.col("t") * F.col("t") / F.col("n_all")
     within = F.col("x2") - F.col("g")
-    usable = (within > F.greatest(F.lit(1.0), F.col("x2")) * 1e-9) & (F.col("n_all") > F.col("classes")) & (F.col("classes") > 1)
+    least = F.greatest(F.lit(1.0), F.col("x2")) * 1e-9
+    usable = (F.col("n_all") > F.col("classes")) & (F.col("classes") > 1)
     f = between * (F.col("n_all") - F.col("classes")) / (within * (F.col("classes") - 1))
-    return sums.select(*keys, F.when(usable, f).otherwise(0.0).alias("f"))
+    scored = F.when(usable & (within > least), f).when(usable & (between > least), F.lit(float(perfect))).otherwise(0.0)
+    return sums.select(*keys, scored.alias("f"))
 
 
 def chi_square(rows: DataFrame, keys: list[str], value: str, sizes: DataFrame) -> DataFrame:
