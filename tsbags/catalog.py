@@ -769,6 +769,13 @@ def r6_bopf(spark, d):
     return bopf.score(bopf.fit(train, (3, 4), **LENGTHS), test)
 
 
+@query()
+def r6_bopf_default_grid(spark, d):
+    """Sizes 3-7 and windows in steps of 2.5 %: 140 configurations of series of 64 points."""
+    train, test = _split(spark, d)
+    return bopf.score(bopf.fit(train), test)
+
+
 @query()
 def r6_hybrid(spark, d):
     train, test = _split(spark, d)
