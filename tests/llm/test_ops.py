@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, on the smallest tables and on awkward rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -427,6 +428,18 @@ def test_op5_weights_and_checksums(spark, docs):
         assert (r.text_crc32, r.size) == (brute.crc(by_id[r.doc_id]), len(by_id[r.doc_id].encode()) + 8)
 
 
+@pytest.mark.parametrize("weights, grown", [([1.0] * 4, [1.0] * 5), ([1.0, 2.0], [2.0, 1.0, 1.0]), ([1.0, 2.0, 1.0], [1.0])])
+def test_op5_both_shards_equal_plain_ones(spark, weights, grown):
+    def wins(key, ws):
+        u = [(int(hashlib.md5(f"{key}/{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for s in range(len(ws))]
+        return min((-math.log(x) / w, s) for s, (x, w) in enumerate(zip(u, ws, strict=True)))[1]
+
+    rows = rendezvous.place(spark.range(500), "id", weights, grown).collect()
+    assert all((r.shard, r.grown_shard) == (wins(r.id, weights), wins(r.id, grown)) for r in rows)
+    with pytest.raises(ValueError):
+        rendezvous.place(spark.range(1), "id", [], grown)
+
+
 def test_op6_held_out_accuracy(spark, docs, awkward):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     got = catalog.QUERIES["op6_compression_language_id"](spark, f"{SF}/../sf0.01").collect()
