@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsbags.llm import chaining, chat, covertree, language, mixing, oracle, pii, rendezvous, secret_scan, simhash, winnowing
+from tsbags.llm import chaining, chat, covertree, language, merkle, mixing, oracle, pii, rendezvous, secret_scan, simhash, winnowing
 from tsbags.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +117,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(rows.union(extra)))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(third, leaf(F.translate("text", UPPER, LOWER))).otherwise(leaf(F.col("text")))
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), changed.alias("altered"))
+    rows = merkle.manifest(leaves, "lang", ["doc_id", "leaf", "altered"], ["doc_id", "altered"])
+    folded = merkle.fold(F.col("altered"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 ORACLE_SQL |= {
+    "op11_merkle_manifest": oracle.OP11,
     "op5_rendezvous_sharding": oracle.OP5,
     "op7_cover_tree_top_k": oracle.OP7,
     "op8_poisson_mix": oracle.OP8,

@@ -48,3 +48,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  sum(body + marks)::BIGINT AS formatted_chars, regexp_full_match(string_agg(sign, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS lawful
 FROM e GROUP BY conv_id"""
+
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t FROM range(256) r(n))"""
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a string expression, with the table t of crc in scope."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = f"""WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, sha256({_HEAD} || {_field("text")}) AS leaf,
+ sha256({_HEAD} || CASE WHEN doc_id IS NOT NULL AND {_crc("doc_id::VARCHAR")} % 3 = 0 THEN {_field(_LOW)} ELSE {_field("text")} END) AS altered FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS pos FROM d),
+nodes AS (SELECT lang, 0 AS level, pos AS idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM l
+ UNION ALL SELECT lang, level + 1, idx >> 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) >> 3) FROM nodes WHERE n > 1 GROUP BY lang, level, idx >> 3),
+g AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, pos AS idx, h, count(*) OVER () AS n FROM g
+ UNION ALL SELECT level + 1, idx >> 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) >> 3) FROM tops WHERE n > 1 GROUP BY level, idx >> 3),
+steps AS (SELECT rid, s.level, s.idx, s.h, l.pos >> (3 * s.level) AS p FROM l JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.n > 1 AND s.idx >> 3 = l.pos >> (3 * s.level + 3)
+ UNION ALL SELECT rid, 100 + s.level, s.idx, s.h, g.pos >> (3 * s.level) FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang JOIN tops s ON s.n > 1 AND s.idx >> 3 = g.pos >> (3 * s.level + 3)),
+way AS (SELECT *, dense_rank() OVER (PARTITION BY rid ORDER BY level) AS k FROM steps),
+folded AS (SELECT rid, 0::BIGINT AS k, altered AS h FROM l
+ UNION ALL SELECT f.rid, f.k + 1, sha256(string_agg(CASE WHEN w.idx = w.p THEN f.h ELSE w.h END, '' ORDER BY w.idx)) FROM folded f JOIN way w ON w.rid = f.rid AND w.k = f.k + 1 GROUP BY f.rid, f.k),
+ended AS (SELECT rid, arg_max(h, k) AS folded_root FROM folded GROUP BY rid),
+proofs AS (SELECT rid, sha256(string_agg(h, '' ORDER BY k, idx)) AS proof FROM way WHERE idx <> p GROUP BY rid)
+SELECT doc_id, leaf, g.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang JOIN ended USING (rid) LEFT JOIN proofs USING (rid), (SELECT h FROM tops WHERE n = 1) r"""
