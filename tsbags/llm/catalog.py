@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsbags.llm import chaining, chat, covertree, language, merkle, mixing, oracle, pii, rendezvous, secret_scan, simhash, winnowing
+from tsbags.llm import chaining, chat, covertree, language, merkle, mixing, oracle, pieces, pii, rendezvous, secret_scan, simhash, winnowing
 from tsbags.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op12_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, path).drop("text"), path)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 ORACLE_SQL |= {
     "op11_merkle_manifest": oracle.OP11,
     "op5_rendezvous_sharding": oracle.OP5,
