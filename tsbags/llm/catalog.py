@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsbags.llm import chaining, chat, covertree, language, merkle, mixing, oracle, pieces, pii, rendezvous, secret_scan, simhash, winnowing
+from tsbags.llm import chaining, chat, covertree, language, merkle, mixing, oracle, pieces, pii, rendezvous, repair, secret_scan, simhash, winnowing
 from tsbags.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,7 +147,13 @@ def op12_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 ORACLE_SQL |= {
+    "op13_conversation_repair": oracle.OP13,
     "op11_merkle_manifest": oracle.OP11,
     "op5_rendezvous_sharding": oracle.OP5,
     "op7_cover_tree_top_k": oracle.OP7,

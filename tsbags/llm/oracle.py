@@ -82,3 +82,47 @@ ended AS (SELECT rid, arg_max(h, k) AS folded_root FROM folded GROUP BY rid),
 proofs AS (SELECT rid, sha256(string_agg(h, '' ORDER BY k, idx)) AS proof FROM way WHERE idx <> p GROUP BY rid)
 SELECT doc_id, leaf, g.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = r.h AS verified
 FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang JOIN ended USING (rid) LEFT JOIN proofs USING (rid), (SELECT h FROM tops WHERE n = 1) r"""
+
+
+def _with(way: str, cost: str, letters: str, line: str = "''") -> str:
+    """A survivor (cost, letters, lines so far) with one more edit."""
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letters}', 'x': {way}.x || {line}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+_U, _A = "'user:' || chr(10)", "'assistant:' || chr(10)"
+_PUT_IN = f"""s0 AS t0, s1 AS t1, {_least("s2", *[_with(s, "2", "I", _U) for s in ("s0", "s1", "s3")])} AS t2,
+ {_least("s3", _with("s2", "2", "I", _A), *[_with(s, "4", "II", f"{_U} || {_A}") for s in ("s0", "s1")])} AS t3"""
+_LINE = {r: f"{r} || ':' || text || chr(10)" for r in ("role", "'user'", "'assistant'")}
+_if = lambda test, way: f"CASE WHEN {test} THEN {way} END"
+_STAYS = "fault NOT IN ('blank', 'duplicate')"
+_TO_USER = [_if(f"{_STAYS} AND r = 'u'", _with(t, "u", "K", _LINE["role"])) for t in ("t0", "t1", "t3")] + [
+    _if(_STAYS, _with(t, "2 + u", "R", _LINE["'user'"])) for t in ("t0", "t1", "t3")
+]
+_TO_ASSISTANT = [_if(f"{_STAYS} AND r = 'a'", _with("t2", "u", "K", _LINE["role"])), _if(_STAYS, _with("t2", "2 + u", "R", _LINE["'assistant'"]))]
+_DROP = {t: _with(t, "3", "D") for t in ("t0", "t1", "t2", "t3")}
+_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+OP13 = rf"""WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc(_KEY)} % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+ FROM k, range(2) c(i) WHERE k <> 0 AND (i = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, nth > 1 AS again, left(role, 1) AS r
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+ WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+ lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+ count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+v AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'x': ''}} AS s0, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR) AS s1, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR) AS s2, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR) AS s3 FROM conversations
+ UNION ALL SELECT conv_id, i, {_DROP["t0"]}, {_least(_DROP["t1"], _if(f"{_STAYS} AND r = 's'", _with("t0", "u", "K", _LINE["role"])))}, {_least(_DROP["t2"], *_TO_USER)}, {_least(_DROP["t3"], *_TO_ASSISTANT)}
+ FROM (SELECT v.conv_id, f.i, r, role, text, fault, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS u, {_PUT_IN} FROM v JOIN f ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = v.i + 1)),
+ended AS (SELECT conv_id, {_least("t0", "t3")} AS best FROM (SELECT conv_id, {_PUT_IN} FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+ coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(left(best.x, greatest(length(best.x) - 1, 0))) AS repaired_sha256
+FROM ended e LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM e.conv_id"""
