@@ -3,15 +3,15 @@
 A text is normalised as the library does, its spaces become the marker, and it is cut into chunks at places that no piece
 of the model crosses. Such a chunk has the same pieces wherever it stands, so each distinct one is segmented once and its
 ids are joined back by position. `boundaries` reads off the model where one may cut: before a marker, if no piece has one
-after another character; around a line break, if no piece has one and it is spelled as bytes; and after a Latin letter or
-digit, if no piece has that character before what follows. A model whose pieces cross markers has no such places: then
-the whole text is the only chunk.
+after another character; and if line breaks have no piece but are spelled as bytes, around these, and after a Latin letter
+or digit that no piece has before any other character. A model whose pieces cross markers has no such places: then the
+whole text is the only chunk.
 
 Two tables. The corpus table has the chunks that occur most often: at most `head`, each of at most CHUNK_BYTES, which
 bounds what is broadcast, whatever the corpus. A chunk beyond it is rare or long. It comes from a table too, in one of
-two ways with the same result: with rest="batch" the distinct ones of an Arrow batch make a table in the task, where a
-chunk is segmented once a batch; with rest="join" Spark makes one table of all of them, joins it to the documents' chunks,
-and brings these to their documents, which shuffles every text once.
+two ways with the same result: with rest="task" a task keeps a table of those it has met, at most REMEMBERED and those of
+one text, and begins a new one when it is full; with rest="join" Spark makes one table of all of them, joins it to the
+documents' chunks, and brings these to their documents, which shuffles every text once.
 
 Defined cases: null and empty texts give the begin and end ids alone; texts of any length are taken whole; a marker
 character in a text counts as a space, as it does for the library; a character without a piece is spelled as bytes, or is
@@ -40,6 +40,8 @@ MARK = "\u2581"
 WHOLE = r"(?s).+"
 #: Chunks of the corpus table, and UTF-8 bytes of one: at most 34 MB of text, some 3 MB where words are of ordinary length.
 HEAD, CHUNK_BYTES = 1 << 18, 128
+#: Of a task: characters of text cut up at once (or one text), and chunks beyond the corpus table that it remembers.
+TEXT, REMEMBERED = 1 << 20, 1 << 16
 
 
 def boundaries(model: proto.ModelProto) -> str:
@@ -52,15 +54,14 @@ def boundaries(model: proto.ModelProto) -> str:
     crossed = any(MARK in follow for c, follow in after.items() if c != MARK)
     if crossed or MARK not in known or model.trainer_spec.treat_whitespace_as_suffix or not model.normalizer_spec.escape_whitespaces:
         return WHOLE
-    if not model.trainer_spec.byte_fallback:  # neighbours without a piece become one unknown piece
+    if not model.trainer_spec.byte_fallback or "\n" in known:  # neighbours without a piece become one unknown piece
         return f"{MARK}+[^{MARK}]*"
     # the largest set of Latin letters and digits that no piece has before a character outside of the set
     inner = {chr(i) for i in range(0x250) if chr(i).isalnum()}
     while lost := {c for c in inner if after.get(c, set()) - inner}:
         inner -= lost
-    alone = "" if "\n" in known else "\n"
-    word, other = f"[{_ranges(inner)}]*", f"[^{_ranges(inner)}{MARK}{alone}]"
-    return "|".join([f"{MARK}+{other}*{word}", f"{other}+{word}", *([f"{alone}{word}"] if alone else [])])
+    word, other = f"[{_ranges(inner)}]*", f"[^{_ranges(inner)}{MARK}\n]"
+    return f"{MARK}+{other}*{word}|{other}+{word}|\n{word}"
 
 
 def _ranges(letters: set[str]) -> str:
@@ -156,10 +157,10 @@ def often(counts: DataFrame, head: int) -> Column:
     return fits & (step >= least) if least is not None else F.lit(False)
 
 
-def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "batch") -> DataFrame:
+def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "task") -> DataFrame:
     """Adds ids (binary: little-endian unsigned 32-bit integers) of the texts, begin and end included."""
-    if rest not in ("batch", "join"):
-        raise ValueError(f"rest is 'batch' or 'join', not {rest!r}")
+    if rest not in ("task", "join"):
+        raise ValueError(f"rest is 'task' or 'join', not {rest!r}")
     spark, counts = docs.sparkSession, chunk_counts(docs, path)
     common = often(counts, head)
     known = spark.sparkContext.broadcast({r.chunk: bytes(r.ids) for r in _segmented(counts.filter(common), path).collect()})  # `head` at most
@@ -169,20 +170,29 @@ def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "batch") ->
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_piece_rest"] + [T.StructField("ids", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, table = segmenter(path), known.value
-        for frame in frames:
+        s, table, met = segmenter(path), known.value, {}
+        begin, end = s.ends
+        for frame in chain.from_iterable(map(_few, frames)):
             cut_up = [s.chunks(s.normalise(t)) for t in frame["text"]]
-            joined = chain.from_iterable(r for r in frame["_piece_rest"] if r is not None)
-            more = {p["chunk"]: p["ids"] for p in joined}
-            new = list({c for found in cut_up for c in found if c not in table and c not in more})
-            more.update(zip(new, s.segment(new) if new else [], strict=True))
-            begin, end = s.ends
-            ids = [b"".join([begin, *(table.get(c) or more[c] for c in found), end]) for found in cut_up]
+            if len(met) > REMEMBERED:
+                met = {}
+            for p in chain.from_iterable(r for r in frame["_piece_rest"] if r is not None):
+                met[p["chunk"]] = p["ids"]
+            new = list({c for found in cut_up for c in found if c not in table and c not in met})
+            met.update(zip(new, s.segment(new) if new else [], strict=True))
+            ids = [b"".join([begin, *(table.get(c) or met[c] for c in found), end]) for found in cut_up]
             yield frame.drop(columns="_piece_rest").assign(ids=ids)
 
     return rows.mapInPandas(run, schema)
 
 
+def _few(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in runs of about TEXT characters."""
+    run = np.cumsum(frame["text"].str.len().fillna(0).to_numpy(dtype=np.int64)) // TEXT
+    for i in np.unique(run):
+        yield frame[run == i]
+
+
 def _with_rest(docs: DataFrame, counts: DataFrame, common: Column, path: str) -> DataFrame:
     """Adds to each document the segmented chunks of its text that the corpus table lacks. Copies share what their text
     has; both sides of either join are tables or scans, so their exchanges are plain ones that skew handling can split."""
@@ -202,6 +212,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(packed: pd.Series) -> pd.Series:
-        return pd.Series(segmenter(path).library.decode([np.frombuffer(b or b"", dtype="<u4").tolist() for b in packed]), dtype=object)
+        library = segmenter(path).library
+        return pd.Series([library.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in packed], dtype=object)
 
     return rows.withColumn("decoded", text_of("ids"))

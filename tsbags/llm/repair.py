@@ -8,9 +8,10 @@ ways the one whose letters (D, I, K, R) come first in ASCII order is taken.
 
 Decoder: per row one survivor for every state, each the leaf of a tree of backpointers. A node counts what refers to it,
 children and survivors; one that nothing refers to is taken out, with what only it held. Once the root has one child and is
-no survivor itself, all survivors share that child: its edits are settled, are emitted, and it becomes the root. So memory
-is what is unsettled, not the conversation. Where two ways reach a state at equal cost, their whole unsettled letters are
-compared. That decides for good: letters fix state and cost, so of two such ways neither's letters begin the other's.
+no survivor itself, all survivors share that child: its edits are settled, are emitted, and it becomes the root. A survivor
+so much worse than another that it can't win (`EXTRA`) is dropped. So memory is what is unsettled, not the conversation. Where two ways reach a state at equal cost, their whole unsettled letters are
+compared (the comparison of every two survivors is carried on from row to row, so it costs the same however long they
+are). That decides for good: letters fix state and cost, so of two such ways neither's letters begin the other's.
 
 Rows of a conversation are dealt to one task, sorted there by Spark, which spills, and read as a stream; repetitions are
 marked by a window of the same partitioning. The decoder is sequential: one conversation isn't split over tasks.
@@ -81,6 +82,17 @@ MOVES = _moves()
 ENDS = {NOTHING: (0, ""), SYSTEM: (2 * INSERT, "II"), USER: (INSERT, "I"), ASSISTANT: (0, "")}
 
 
+#: What a continuation of the second state costs more, at most, if it goes on from the first: a user or assistant put in,
+#: a later system row deleted, an end not reached. A survivor that is worse than another by more can't win or tie any more.
+#: Without this the way that deletes every row stays a survivor, and nothing before the end is settled.
+EXTRA = {
+    NOTHING: {SYSTEM: 0, USER: INSERT, ASSISTANT: 0},
+    SYSTEM: {NOTHING: 2 * INSERT, USER: INSERT, ASSISTANT: 2 * INSERT},
+    USER: {NOTHING: INSERT + DELETE, SYSTEM: INSERT, ASSISTANT: INSERT},
+    ASSISTANT: {NOTHING: DELETE, SYSTEM: 0, USER: INSERT},
+}
+
+
 class Node:
     """A step of the backpointer tree."""
 
@@ -91,14 +103,6 @@ class Node:
         if parent is not None:
             parent.children.add(self)
 
-    def suffix(self) -> str:
-        """The letters since the root."""
-        out, node = [], self
-        while node.parent is not None:
-            out.append(node.letters)
-            node = node.parent
-        return "".join(reversed(out))
-
 
 def _prune(node: Node) -> None:
     """Takes out a node that nothing refers to, and its ancestors as far as only it held them."""
@@ -115,39 +119,53 @@ class Decoder:
         self.root = Node(None, "")
         self.root.held = 1
         self.alive: dict[int, tuple[int, Node]] = {NOTHING: (0, self.root)}
+        #: By two survivors: what remains of their whole letters after those that both begin with, up to what decides.
+        self.apart: dict[tuple[int, int], tuple[str, str]] = {(NOTHING, NOTHING): ("", "")}
         self.cost = 0
 
     def feed(self, initial: str, fault: str) -> Iterator[str]:
-        best: dict[int, tuple[int, Node, str]] = {}
+        best: dict[int, tuple[int, int, str]] = {}
         for state, there, letters, cost in MOVES[initial if initial in ("s", "u", "a") else "", fault]:
-            if state not in self.alive:
-                continue
-            way = (self.alive[state][0] + cost, self.alive[state][1], letters)
-            if there not in best or self._less(way, best[there]):
-                best[there] = way
-        self._take({there: (cost, Node(parent, letters)) for there, (cost, parent, letters) in best.items()})
+            if state in self.alive:
+                way = (self.alive[state][0] + cost, state, letters)
+                if there not in best or self._less(way, best[there]):
+                    best[there] = way
+        costs = [(q, way[0]) for q, way in best.items()]
+        self._take({q: way for q, way in best.items() if all(p == q or way[0] <= cost + EXTRA[p][q] for p, cost in costs)})
         return self._settled()
 
     def finish(self) -> Iterator[str]:
         best = None
-        for state, (cost, node) in self.alive.items():
-            way = (cost + ENDS[state][0], node, ENDS[state][1])
+        for state, (cost, _) in self.alive.items():
+            way = (cost + ENDS[state][0], state, ENDS[state][1])
             if best is None or self._less(way, best):
                 best = way
-        self.cost, parent, letters = best
-        self._take({NOTHING: (self.cost, Node(parent, letters))})
+        self.cost = best[0]
+        self._take({NOTHING: best})
         return self._settled()
 
-    @staticmethod
-    def _less(a: tuple[int, Node, str], b: tuple[int, Node, str]) -> bool:
-        if a[0] != b[0] or a[1] is b[1]:
-            return (a[0], a[2]) < (b[0], b[2])
-        return a[1].suffix() + a[2] < b[1].suffix() + b[2]
-
-    def _take(self, alive: dict[int, tuple[int, Node]]) -> None:
-        for _, node in alive.values():
+    def _remains(self, a: tuple[int, int, str], b: tuple[int, int, str]) -> tuple[str, str]:
+        """Of two ways: their letters after those that both begin with. Equal to a comparison of all unsettled letters,
+        without walking back to where the ways part."""
+        x, y = self.apart[a[1], b[1]]
+        x, y = x + a[2], y + b[2]
+        same = 0
+        while same < min(len(x), len(y)) and x[same] == y[same]:
+            same += 1
+        x, y = x[same:], y[same:]
+        return (x[0], y[0]) if x and y else (x, y)
+
+    def _less(self, a: tuple[int, int, str], b: tuple[int, int, str]) -> bool:
+        if a[0] != b[0]:
+            return a[0] < b[0]
+        x, y = self._remains(a, b)
+        return x < y
+
+    def _take(self, ways: dict[int, tuple[int, int, str]]) -> None:
+        self.apart = {(p, q): self._remains(a, b) for p, a in ways.items() for q, b in ways.items()}
+        before, self.alive = self.alive, {q: (cost, Node(self.alive[state][1], letters)) for q, (cost, state, letters) in ways.items()}
+        for _, node in self.alive.values():
             node.held += 1
-        before, self.alive = self.alive, alive
         for _, node in before.values():
             node.held -= 1
             _prune(node)
