@@ -528,7 +528,8 @@ def _block_sweep(spark, d):
     f = scores.f_statistic(bag.join(labels, "series_id"), ["cfg_id", "word"], "cnt", sizes)
     ranks = cut(scores.rank_words(f, "f", ["cfg_id"], drop_zero=True).withColumn("method_id", F.lit(0)))
     ranked = ranked_counts(bag, ranks, labels).select("method_id", "rk", "label", "cnt")
-    return profiles.sweep(profiles.sweep_rows(bag, ranks, labels, [0]), cut(ranked), sizes_of(labels))
+    cases = labels.select(F.lit(0).alias("case_id"), F.lit(0).alias("method_id"), "series_id", "label")
+    return profiles.sweep(profiles.sweep_rows(profiles.placed(bag, ranks), cases), cut(ranked), sizes_of(labels))
 
 
 @query(ORACLE_SQL["c6_prefix_sweep"])

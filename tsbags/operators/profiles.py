@@ -9,6 +9,7 @@ class), for small inputs and as the truth; `sweep` keeps only what a series' own
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,14 +22,18 @@ from tsbags.session import cut
 DIGITS = 9
 #: Ranks and series that a task of the sweep handles at once.
 CHUNK, SERIES = 4_096, 2_000
+#: Numbers of a step's matrix (ranks x classes x series), and of a block's hits (hits x classes).
+STEP, HITS = 65_536, 1_000_000
 
 
-def profile(classes: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("word",)) -> DataFrame:
-    """(keys, label, cnt, mean_cnt, tfidf) of (keys, label, cnt). sizes has a row per class: broadcast."""
-    number = sizes.agg(F.count("*").alias("classes"))
+def profile(classes: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("word",), by: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, label, cnt, mean_cnt, tfidf) of (keys, label, cnt). sizes has a row per class: broadcast; by: those of the
+    keys that have classes of their own, in sizes too."""
+    number = sizes.groupBy(*by).agg(F.count("*").alias("classes"))
     holders = F.count("*").over(Window.partitionBy(*keys))
     tfidf = (1 + F.log10(F.col("cnt").cast("double"))) * F.log10(1 + F.col("classes") / holders)
-    return classes.join(F.broadcast(sizes), "label").join(F.broadcast(number)).select(
+    sized = classes.join(F.broadcast(sizes), [*by, "label"])
+    return (sized.join(F.broadcast(number), list(by)) if by else sized.join(F.broadcast(number))).select(
         *keys, "label", "cnt", (F.col("cnt") / F.col("n")).alias("mean_cnt"), tfidf.alias("tfidf")
     )
 
@@ -96,13 +101,15 @@ def select_words(ranks: DataFrame, methods: DataFrame, profiled: DataFrame) -> D
 
 
 class ClassCounts:
-    """Counts of a chunk of ranked words per class (rank x class), and what follows when nothing is left out."""
+    """Counts of a chunk of ranked words per class (rank x class), and the running sums of what each rank adds to the
+    measures of a series that lacks its word. These are shared by all series, those of one class differ in one column."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
         self.s, self.n = counts.astype(np.float64), sizes.astype(np.float64)
+        self.left = np.maximum(self.n - 1, 1)
         self.tfidf = self.weights(self.s)
-        self.squares = self.tfidf**2
-        self.means: dict[int, np.ndarray] = {}
+        self.means, self.own = (self.s / self.n) ** 2, (self.s / self.left) ** 2
+        self.ed, self.loss, self.c = (np.cumsum(v, axis=0) for v in (self.means, self.own - self.means, self.tfidf**2))
 
     @staticmethod
     def weights(s: np.ndarray) -> np.ndarray:
@@ -110,32 +117,98 @@ class ClassCounts:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(s > 0, (1 + np.log10(s)) * np.log10(1 + s.shape[1] / holders), 0.0)
 
-    def sums(self, own: int, at: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Running sums (Euclidean terms, squared TF-IDF, products, squared TF) after each rank, for a series with counts x
-        at ranks `at` (from 0), from the state that the chunks before leave."""
-        width, classes = self.s.shape
-        n = self.n.copy()
-        n[own] = max(n[own] - 1, 1)
-        if own not in self.means:
-            self.means[own] = (self.s / n) ** 2
-        left = self.s[at].copy()
-        left[:, own] -= x
+    def changes(self, own: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What a series of class `own` that holds x of the word at rank `at` (from 0) adds beyond one that lacks it: to
+        the Euclidean terms, squared TF-IDF and products (hit x class), and to the squared TF (hit)."""
+        hit = np.arange(len(at))
+        left, n, plain = self.s[at], np.repeat(self.n[None], len(at), axis=0), self.means[at]
+        left[hit, own] -= x
+        n[hit, own], plain[hit, own] = self.left[own], self.own[at, own]
         tfidf, tf = self.weights(left), 1 + np.log10(x)
-        ed, c = self.means[own].copy(), self.squares.copy()
-        p, j = np.zeros((width, classes)), np.zeros(width)
-        ed[at] = (left / n - x[:, None]) ** 2
-        c[at] = tfidf**2
-        p[at] = tfidf * tf[:, None]
-        j[at] = tf**2
-        before = np.split(state, [classes, 2 * classes, 3 * classes]) if len(state) else [0.0] * 4
-        return tuple(np.cumsum(v, axis=0) + b for v, b in zip((ed, c, p, j), before, strict=True))
-
-    @staticmethod
-    def predicted(ed: np.ndarray, c: np.ndarray, p: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class after each rank, by both similarities."""
-        bottom = c * j[:, None]
-        cos = np.divide(p**2, bottom, out=np.zeros_like(bottom), where=bottom > 0)
-        return np.round(ed, DIGITS).argmin(axis=1), np.round(cos, DIGITS).argmax(axis=1)
+        return (left / n - x[:, None]) ** 2 - plain, tfidf**2 - self.tfidf[at] ** 2, tfidf * tf[:, None], tf**2
+
+    def totals(self, block: Block, upto: tuple[int, int]) -> np.ndarray:
+        """(series, 3 classes + 1): the sums of the first upto[0] ranks for the Euclidean terms, of the first upto[1] for
+        squared TF-IDF, products and squared TF."""
+        classes = self.s.shape[1]
+        out = np.zeros((len(block.own), 3 * classes + 1))
+        first, second = upto
+        if first:
+            out[:, :classes] = self.ed[first - 1]
+            out[np.arange(len(out)), block.own] += self.loss[first - 1, block.own]
+        if second:
+            out[:, classes : 2 * classes] = self.c[second - 1]
+        ed, c, p, j = self.changes(block.own[block.series], block.at, block.x)
+        both = np.concatenate([ed * (block.at < first)[:, None], np.concatenate([c, p, j[:, None]], axis=1) * (block.at < second)[:, None]], axis=1)
+        some = np.flatnonzero(np.diff(block.starts))
+        if len(some):
+            out[some] += np.add.reduceat(both, block.starts[some], axis=0)
+        return out
+
+    def right(self, block: Block, truth: np.ndarray, state: np.ndarray) -> dict[str, np.ndarray]:
+        """By similarity: how many series of the block have their class predicted after each rank, from the sums that
+        the chunks before leave. Ranks go by in steps; of a step, all series are a matrix by class at once."""
+        width, classes = self.s.shape
+        own, many = block.own, len(block.own)
+        each = np.arange(many)
+        ed, c, p = (np.ascontiguousarray(v.T) for v in np.split(state[:, : 3 * classes], 3, axis=1))
+        j, out = state[:, 3 * classes].copy(), {"ed": np.zeros(width, dtype=np.int64), "cos": np.zeros(width, dtype=np.int64)}
+        order = np.argsort(block.at, kind="stable")
+        series, at, changes = block.series[order], block.at[order], [v[order] for v in self.changes(own[block.series], block.at, block.x)]
+        step = max(1, STEP // (classes * many))
+        for low in range(0, width, step):
+            high = min(low + step, width)
+            a, b = np.searchsorted(at, (low, high))
+            rows, whose = at[a:b] - low, series[a:b]
+            added = []
+            for before, change in zip((ed, c, p), changes, strict=False):
+                part = np.zeros((high - low, classes, many))
+                part[rows, :, whose] = change[a:b]
+                part[0] += before
+                added.append(np.cumsum(part, axis=0, out=part))
+            norm = np.zeros((high - low, many))
+            norm[rows, whose] = changes[3][a:b]
+            norm[0] += j
+            norm = np.cumsum(norm, axis=0, out=norm)
+            ed, c, p, j = (*(v[-1].copy() for v in added), norm[-1].copy())
+            far = added[0] + self.ed[low:high, :, None]
+            far[:, own, each] += self.loss[low:high, own]
+            bottom = (added[1] + self.c[low:high, :, None]) * norm[:, None]
+            near = np.divide(added[2] ** 2, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+            for sim, said in zip(("ed", "cos"), predicted(far, near), strict=True):
+                out[sim][low:high] = (truth[said] == truth[own]).sum(axis=1)
+        return out
+
+
+def predicted(far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class (second axis) of the least distance, and of the greatest similarity; the first of equal ones."""
+    return np.round(far, DIGITS).argmin(axis=1), np.round(near, DIGITS).argmax(axis=1)
+
+
+@dataclass
+class Block:
+    """Some series of a chunk: the class of each, and their hits, series by series: whose, at which rank (from 0), count."""
+
+    own: np.ndarray
+    series: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    starts: np.ndarray  # of each series' hits, and their end
+
+    @classmethod
+    def of(cls, own: np.ndarray, ranks: list[np.ndarray], counts: list[np.ndarray], first: int) -> Block:
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in ranks])]).astype(np.int64)
+        at, x = (np.concatenate([np.asarray(v) for v in part]) if len(part) else np.zeros(0) for part in (ranks, counts))
+        return cls(own, np.repeat(np.arange(len(own)), np.diff(starts)), at.astype(np.int64) - first, x.astype(np.float64), starts)
+
+
+def _blocks(mine: pd.DataFrame, place: dict[int, int], first: int) -> Iterator[tuple[pd.DataFrame, Block]]:
+    """The rows in runs, whose hits by class stay a matrix of moderate size."""
+    hits = np.cumsum(mine["ranks"].map(len).to_numpy() + 1)
+    run = np.maximum(hits * len(place) // HITS, np.arange(len(mine)) * len(place) // STEP)
+    for i in np.unique(run):
+        rows = mine[run == i]
+        yield rows, Block.of(rows["label"].map(place).to_numpy(dtype=np.int64), list(rows["ranks"]), list(rows["counts"]), first)
 
 
 def _carried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,32 +224,47 @@ def _carried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(state=states)
 
 
+def _by_method(sizes: dict, method: int) -> dict[int, int]:
+    return sizes[method] if isinstance(next(iter(sizes.values()), None), dict) else sizes
+
+
 def sweep(
-    rows: DataFrame, ranked: DataFrame, sizes: dict[int, int], at: dict[tuple[int, str], int] | None = None,
-    classes: dict[int, int] | None = None,
+    rows: DataFrame, ranked: DataFrame, sizes: dict, at: dict[tuple[int, str], int] | None = None, classes: dict | None = None,
 ) -> DataFrame:
     """rows: (method_id, series_id, label, ranks array, counts array), one per method and series. ranked: (method_id, rk,
-    label, cnt). sizes: the series of each label.
+    label, cnt). sizes: the series of each label, or that by method, where methods have labels of their own. classes: the
+    class of each label (or that by method), if the labels are subclasses; a prediction is right if its class is.
 
     Ranks are dealt out in chunks, and series in parts, so a task holds the counts of CHUNK words and the rows of
     about SERIES series, whatever the number of words or series. Where there are several chunks, a first pass adds up
     what each contributes for a series, and the second starts every chunk from the sums before it.
 
     Without `at`: (method_id, sim, rk, n_correct), added up within each task. With `at`, a rank per method and
-    similarity: (method_id, sim, series_id, own, predicted) of those prefixes. classes: the class of each label, if the
-    labels are subclasses; a prediction is right if its class is.
+    similarity: (method_id, sim, series_id, own, predicted) of those prefixes; that takes sums only, chunk by chunk.
     """
-    labels = sorted(sizes)
-    names, place, n = np.array(labels), {c: i for i, c in enumerate(labels)}, np.array([sizes[c] for c in labels])
-    truth = np.array([c if classes is None else classes[c] for c in labels])
-    parts = max(1, -(-sum(sizes.values()) // SERIES))
+    known: dict[int, tuple] = {}
+
+    def labels_of(method: int) -> tuple[np.ndarray, dict[int, int], np.ndarray, np.ndarray]:
+        """Labels, the place of each, their sizes, their classes."""
+        if method not in known:
+            n = _by_method(sizes, method)
+            labels = sorted(n)
+            of = None if classes is None else _by_method(classes, method)
+            known[method] = np.array(labels), {c: i for i, c in enumerate(labels)}, np.array([n[c] for c in labels]), np.array([c if of is None else of[c] for c in labels])
+        return known[method]
+
+    most_series = max(sum(_by_method(sizes, m).values()) for m in sizes) if sizes else 0
+    parts = max(1, -(-most_series // SERIES))
+    if at is not None:  # what lies behind the ranks asked for adds nothing
+        last = F.create_map(*[F.lit(v) for m in {m for m, _ in at} for v in (m, max(at.get((m, sim), 0) for sim in ("ed", "cos")))]) if at else F.create_map()
+        ranked = ranked.filter(F.col("rk") <= last[F.col("method_id")])
     widths = cut(ranked.groupBy("method_id").agg(F.max("rk").alias("_width")))  # a row per method
     most = widths.agg(F.max("_width")).first()[0] or 0
     number = lambda rk: F.floor((rk - 1) / CHUNK).cast("int")
     cells = ranked.select(
         "method_id", number(F.col("rk")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rk", "label", "cnt"
     )
-    pairs = F.filter(F.arrays_zip("ranks", "counts"), lambda e: number(e["ranks"]) == F.col("chunk"))
+    pairs = F.filter(F.arrays_zip("ranks", "counts"), lambda e: (number(e["ranks"]) == F.col("chunk")) & (e["ranks"] <= F.col("_width")))
     pieces = (
         rows.join(F.broadcast(widths), "method_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), number(F.col("_width")))))
         .withColumn("part", F.pmod(F.xxhash64("series_id"), F.lit(parts)).cast("int")).withColumn("_p", pairs)
@@ -184,61 +272,86 @@ def sweep(
     )
     key = ("method_id", "chunk", "part")
 
-    def each(known: pd.DataFrame, mine: pd.DataFrame) -> Iterator[tuple]:
-        """Per row: method, first rank of the chunk, series, label, and its running sums."""
-        if not len(known) or not len(mine):
+    def each(cells_: pd.DataFrame, mine: pd.DataFrame) -> Iterator[tuple[int, int, ClassCounts, pd.DataFrame, Block]]:
+        """Method, first rank, counts, and series in blocks."""
+        if not len(cells_) or not len(mine):
             return
         method, chunk = int(mine["method_id"].iloc[0]), int(mine["chunk"].iloc[0])
+        _, place, n, _ = labels_of(method)
         first = chunk * CHUNK + 1
-        counts = np.zeros((int(known["rk"].max()) - first + 1, len(labels)))
-        counts[known["rk"].to_numpy() - first, known["label"].map(place).to_numpy()] = known["cnt"].to_numpy()
+        counts = np.zeros((int(cells_["rk"].max()) - first + 1, len(n)))
+        counts[cells_["rk"].to_numpy() - first, cells_["label"].map(place).to_numpy()] = cells_["cnt"].to_numpy()
         held = ClassCounts(counts, n)
-        states = mine["state"] if "state" in mine else [np.zeros(0)] * len(mine)
-        for series, label, ranks, xs, state in zip(mine["series_id"], mine["label"], mine["ranks"], mine["counts"], states, strict=True):
-            where = np.asarray(ranks, dtype=np.int64) - first
-            yield method, first, series, label, held.sums(place[label], where, np.asarray(xs, dtype=np.float64), np.asarray(state))
-
-    def add_up(known: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        out = [(m, first // CHUNK, s, np.concatenate([ed[-1], c[-1], p[-1], j[-1:]])) for m, first, s, _, (ed, c, p, j) in each(known, mine)]
-        return pd.DataFrame(out, columns=["method_id", "chunk", "series_id", "state"])
-
-    def predict(known: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        for rows_, block in _blocks(mine, place, first):
+            yield method, first, held, rows_, block
+
+    def add_up(cells_: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for method, first, held, rows_, block in each(cells_, mine):
+            upto = [len(held.s)] * 2 if at is None else [min(max(at.get((method, sim), 0) - first + 1, 0), len(held.s)) for sim in ("ed", "cos")]
+            state = held.totals(block, tuple(upto))
+            out.append(pd.DataFrame({"method_id": method, "chunk": first // CHUNK, "series_id": rows_["series_id"], "label": rows_["label"], "state": list(state)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["method_id", "chunk", "series_id", "label", "state"])
+
+    def count(cells_: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         right: dict[str, np.ndarray] = {}
-        said, method, first = [], 0, 1
-        for method, first, series, label, sums in each(known, mine):
-            for sim, got in zip(("ed", "cos"), ClassCounts.predicted(*sums), strict=True):
-                if at is None:
-                    right[sim] = right.get(sim, 0) + (truth[got] == truth[place[label]])
-                elif first <= at.get((method, sim), 0) < first + len(got):
-                    said.append((method, sim, series, label, int(names[got[at[method, sim] - first]])))
-        if at is not None:
-            return pd.DataFrame(said, columns=["method_id", "sim", "series_id", "own", "predicted"])
-        frames = [
-            pd.DataFrame({"method_id": method, "sim": sim, "rk": np.arange(first, first + len(r)), "n_correct": r.astype(np.int64)})
-            for sim, r in right.items()
-        ]
+        method, first = 0, 1
+        for method, first, held, rows_, block in each(cells_, mine):
+            state = np.stack(rows_["state"].to_numpy()) if "state" in rows_ else np.zeros((len(rows_), 3 * len(held.n) + 1))
+            for sim, r in held.right(block, labels_of(method)[3], state).items():
+                right[sim] = right.get(sim, 0) + r
+        frames = [pd.DataFrame({"method_id": method, "sim": sim, "rk": np.arange(first, first + len(r)), "n_correct": r}) for sim, r in right.items()]
         return pd.concat(frames) if frames else pd.DataFrame(columns=["method_id", "sim", "rk", "n_correct"])
 
+    def say(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The predictions of series whose chunks come one after the other."""
+        last, total = None, None
+        for frame in frames:
+            out = []
+            for method, series, label, state in zip(frame["method_id"], frame["series_id"], frame["label"], frame["state"], strict=True):
+                if last == (method, series, label):
+                    total = total + state
+                else:
+                    out += answers(last, total)
+                    last, total = (method, series, label), state
+            yield pd.DataFrame(out, columns=["method_id", "sim", "series_id", "own", "predicted"])
+        yield pd.DataFrame(answers(last, total), columns=["method_id", "sim", "series_id", "own", "predicted"])
+
+    def answers(whose: tuple | None, state: np.ndarray) -> list[tuple]:
+        if whose is None:
+            return []
+        method, series, label = whose
+        names = labels_of(method)[0]
+        ed, c, p, j = np.split(np.asarray(state), [len(names), 2 * len(names), 3 * len(names)])
+        near = np.divide(p**2, c * j, out=np.zeros_like(c), where=c * j > 0)
+        said = zip(("ed", "cos"), predicted(ed[None], near[None]), strict=True)
+        return [(method, sim, series, label, int(names[i[0]])) for sim, i in said if (method, sim) in at]
+
     dealt = cells.groupBy(*key)
-    if most > CHUNK:
-        totals = dealt.cogroup(pieces.groupBy(*key)).applyInPandas(add_up, "method_id int, chunk int, series_id long, state array<double>")
-        before = totals.repartition("method_id", "series_id").sortWithinPartitions("method_id", "series_id", "chunk")
-        before = cut(before.mapInPandas(_carried, totals.schema))
-        pieces = pieces.join(before, ["method_id", "chunk", "series_id"])
-    schema = "method_id int, sim string, rk int, n_correct long" if at is None else "method_id int, sim string, series_id long, own int, predicted int"
-    return dealt.cogroup(pieces.groupBy(*key)).applyInPandas(predict, schema)
-
-
-def sweep_rows(bag: DataFrame, ranks: DataFrame, labels: DataFrame, methods: list[int]) -> DataFrame:
-    """The sweep's input from bag (cfg_id, series_id, word, cnt) and ranks (method_id, cfg_id, word, rk); a series without
-    a ranked word still has a row."""
-    pairs = labels.sparkSession.createDataFrame([(m,) for m in methods], "method_id int")  # a few rows
-    have = bag.join(ranks.select("method_id", "cfg_id", "word", "rk"), ["cfg_id", "word"]).groupBy("method_id", "series_id").agg(
-        F.array_sort(F.collect_list(F.struct("rk", "cnt"))).alias("p")
-    )
+    state = "method_id int, chunk int, series_id long, label int, state array<double>"
+    if at is not None or most > CHUNK:
+        totals = dealt.cogroup(pieces.groupBy(*key)).applyInPandas(add_up, state)
+        totals = totals.repartition("method_id", "series_id").sortWithinPartitions("method_id", "series_id", "label", "chunk")
+        if at is not None:
+            return totals.mapInPandas(say, "method_id int, sim string, series_id long, own int, predicted int")
+        before = cut(totals.mapInPandas(_carried, totals.schema))
+        pieces = pieces.join(before.drop("label"), ["method_id", "chunk", "series_id"])
+    return dealt.cogroup(pieces.groupBy(*key)).applyInPandas(count, "method_id int, sim string, rk int, n_correct long")
+
+
+def placed(bag: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(method_id, series_id, rk, cnt): the bag (cfg_id, series_id, word, cnt) by ranks (method_id, cfg_id, word, rk)
+    instead of words. One join, which everything that follows shares."""
+    return bag.join(ranks.select("method_id", "cfg_id", "word", "rk"), ["cfg_id", "word"]).select("method_id", "series_id", "rk", "cnt")
+
+
+def sweep_rows(placed_: DataFrame, cases: DataFrame) -> DataFrame:
+    """The sweep's input from `placed` rows and cases (case_id, method_id, series_id, label), as method_id = case_id; a
+    series without a ranked word still has a row."""
+    have = placed_.groupBy("method_id", "series_id").agg(F.array_sort(F.collect_list(F.struct("rk", "cnt"))).alias("p"))
     none = F.array().cast("array<long>")
-    return labels.join(F.broadcast(pairs)).join(have, ["method_id", "series_id"], "left").select(
-        "method_id", "series_id", "label",
+    return cases.join(have, ["method_id", "series_id"], "left").select(
+        F.col("case_id").alias("method_id"), "series_id", "label",
         F.coalesce(F.transform("p", lambda e: e["rk"].cast("long")), none).alias("ranks"),
         F.coalesce(F.transform("p", lambda e: e["cnt"].cast("long")), none).alias("counts"),
     )
