@@ -38,8 +38,8 @@ from tsbags.session import cut
 
 MARK = "\u2581"
 WHOLE = r"(?s).+"
-#: Chunks of the corpus table, and UTF-8 bytes of one: at most 34 MB of text, some 3 MB where words are of ordinary length.
-HEAD, CHUNK_BYTES = 1 << 18, 128
+#: Chunks of the corpus table, and UTF-8 bytes of one: at most 17 MB of text, some 2 MB where words are of ordinary length.
+HEAD, CHUNK_BYTES = 1 << 17, 128
 #: Of a task: characters of text cut up at once (or one text), and chunks beyond the corpus table that it remembers.
 TEXT, REMEMBERED = 1 << 20, 1 << 16
 
@@ -157,17 +157,19 @@ def often(counts: DataFrame, head: int) -> Column:
     return fits & (step >= least) if least is not None else F.lit(False)
 
 
-def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "task") -> DataFrame:
-    """Adds ids (binary: little-endian unsigned 32-bit integers) of the texts, begin and end included."""
+def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "task", decoded: bool = False) -> DataFrame:
+    """Adds ids (binary: little-endian unsigned 32-bit integers) of the texts, begin and end included; with `decoded` also
+    what `decode` makes of them, in the same task."""
     if rest not in ("task", "join"):
         raise ValueError(f"rest is 'task' or 'join', not {rest!r}")
     spark, counts = docs.sparkSession, chunk_counts(docs, path)
     common = often(counts, head)
     known = spark.sparkContext.broadcast({r.chunk: bytes(r.ids) for r in _segmented(counts.filter(common), path).collect()})  # `head` at most
-    rows = docs.drop("ids").withColumn("_piece_rest", F.lit(None).cast("array<struct<chunk:string,ids:binary>>"))
+    rows = docs.drop("ids", *["decoded"] * decoded).withColumn("_piece_rest", F.lit(None).cast("array<struct<chunk:string,ids:binary>>"))
     if rest == "join":
-        rows = _with_rest(docs.drop("ids"), counts, common, path)
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_piece_rest"] + [T.StructField("ids", T.BinaryType())])
+        rows = _with_rest(docs.drop("ids", *["decoded"] * decoded), counts, common, path)
+    added = [T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())] * decoded]
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_piece_rest"] + added)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, table, met = segmenter(path), known.value, {}
@@ -181,7 +183,8 @@ def encode(docs: DataFrame, path: str, head: int = HEAD, rest: str = "task") ->
             new = list({c for found in cut_up for c in found if c not in table and c not in met})
             met.update(zip(new, s.segment(new) if new else [], strict=True))
             ids = [b"".join([begin, *(table.get(c) or met[c] for c in found), end]) for found in cut_up]
-            yield frame.drop(columns="_piece_rest").assign(ids=ids)
+            more = {"decoded": [_text_of(s, b) for b in ids]} if decoded else {}
+            yield frame.drop(columns="_piece_rest").assign(ids=ids, **more)
 
     return rows.mapInPandas(run, schema)
 
@@ -207,12 +210,16 @@ def _with_rest(docs: DataFrame, counts: DataFrame, common: Column, path: str) ->
     return keyed.join(found, "_piece_text", "left").drop("_piece_text")
 
 
+def _text_of(s: Segmenter, packed: bytes) -> str:
+    return s.library.decode(np.frombuffer(packed, dtype="<u4").tolist())
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """Adds decoded, the library's text of ids."""
 
     @F.pandas_udf("string")
     def text_of(packed: pd.Series) -> pd.Series:
-        library = segmenter(path).library
-        return pd.Series([library.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in packed], dtype=object)
+        s = segmenter(path)
+        return pd.Series([_text_of(s, b or b"") for b in packed], dtype=object)
 
     return rows.withColumn("decoded", text_of("ids"))
