@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsbags.functions import bits, positions
-from tsbags.operators import bags, classify, discretize, ensemble, grid, profiles, scores, subclasses
+from tsbags.operators import bags, classify, discretize, ensemble, grid, kernel, profiles, scores, subclasses
 from tsbags.plans import bopf, hybrid
 from tsbags.plans import oracle as Q
 from tsbags.plans.common import ranked_counts, sizes_of, swept
@@ -59,6 +59,12 @@ def _points(spark, d):
     return S.events_user(spark, d)
 
 
+def _series(spark, d):
+    """The same as series of doubles."""
+    rows = S.wide(_points(spark, d))
+    return rows.withColumn("values", F.transform("values", lambda v: v.cast("double")))
+
+
 def _words(spark, d):
     return discretize.words(positions.sax(_points(spark, d), WIN, SIZE), SIZE, CARD)
 
@@ -355,6 +361,13 @@ def d11_local_fill(spark, d):
     return _places(discretize.filled_words(_words(spark, d), WIN), F.col("word"))
 
 
+@query(ORACLE_SQL["d11_local_fill"])
+def d11_lazy_fill(spark, d):
+    """The same words, looking only at the windows that filling needs."""
+    words = grid.grid_words(_series(spark, d), [grid.Config(0, "sax", SIZE, WIN, CARD, fill=True)])
+    return _places(words, F.col("word"))
+
+
 @query(Q.query(*WORDS, "SELECT series_id, pos, word >> 2 AS word FROM words"))
 def d12_shorten(spark, d):
     return _places(_words(spark, d), discretize.shorten(F.col("word"), 1, CARD).alias("word"))
@@ -742,6 +755,29 @@ def r3_cosine(spark, d):
     return _measured(spark, d).select("series_id", "label", *six("cos"))
 
 
+def _measured_locally(spark, d, sim):
+    """The same distances by the model in memory, from the points of each series."""
+    rows = _series(spark, d)
+    train, test = (rows.filter(F.col("series_id") % HOLD != 0), rows.filter(F.col("series_id") % HOLD == 0))
+    config = grid.Config(0, "sax", SIZE, WIN, CARD)
+    labels = _labels(spark, d).filter(F.col("series_id") % HOLD != 0)
+    bag = grid.grid_bag(train, [config]).join(labels, "series_id").groupBy("word", "label").agg(F.sum("cnt").alias("cnt"))
+    profiled = profiles.profile(bag, S.class_sizes(labels)).select(
+        F.lit(0).alias("method_id"), F.lit(sim).alias("sim"), F.lit("classes").alias("partition"), F.lit(0).alias("cfg_id"), "word", "label", "mean_cnt", "tfidf"
+    )
+    return kernel.distances(kernel.build([config], {}, cut(profiled)), test).select("series_id", "label", F.round("distance", 6).alias(sim))
+
+
+@query(ORACLE_SQL["r2_euclidean"])
+def r2_euclidean_in_memory(spark, d):
+    return _measured_locally(spark, d, "ed")
+
+
+@query(ORACLE_SQL["r3_cosine"])
+def r3_cosine_in_memory(spark, d):
+    return _measured_locally(spark, d, "cos")
+
+
 @query(Q.query(MADE, "w AS (SELECT series_id, predicted, round(sum(cv_score), 9) AS w FROM predictions JOIN methods USING (sim, method_id) GROUP BY series_id, predicted)",
                "SELECT series_id, predicted FROM w QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY w DESC, predicted) = 1"))
 def r4_vote(spark, d):

@@ -8,7 +8,7 @@ multiples of the window length, where filling starts anew, and sees the stretch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tsbags.functions.bits import num_bits
 from tsbags.functions.positions import lines_of, segment_starts
-from tsbags.operators.discretize import GAUSSIAN, fill_local
+from tsbags.operators.discretize import GAUSSIAN
 
 #: Points of a series that one task takes; prefix sums take some 100 bytes a point.
 POINTS = 1_000_000
+#: Points of series of equal length that are turned into words as one matrix.
+MATRIX = 200_000
 
 
 @dataclass(frozen=True)
@@ -41,35 +43,117 @@ class Config:
         return self.word_size if self.kind == "sax" else 2 * lines_of(self.word_size)
 
 
-def coefficients(x: np.ndarray, c: Config) -> np.ndarray:
-    """(positions, word_size): the coefficients of every window; a series shorter than the window counts as zero-padded."""
-    x = np.asarray(x, dtype=np.float64)
-    if len(x) < c.win:
-        x = np.pad(x, (0, c.win - len(x)))
-    n, t = len(x) - c.win + 1, np.arange(len(x))
-    s, s2, st = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x, t * x))
-    mean = (s[c.win :] - s[:n]) / c.win
-    variance = (s2[c.win :] - s2[:n]) / c.win - mean * mean
+class Prefix:
+    """Zero-led sums of x, x^2 and t x along the last axis; shorter than the window counts as zero-padded."""
+
+    def __init__(self, x: np.ndarray, win: int):
+        x = np.asarray(x, dtype=np.float64)
+        if x.shape[-1] < win:
+            x = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, win - x.shape[-1])])
+        zero = np.zeros((*x.shape[:-1], 1))
+        self.sums = tuple(np.concatenate([zero, np.cumsum(v, axis=-1)], axis=-1) for v in (x, x * x, np.arange(x.shape[-1]) * x))
+        self.windows = x.shape[-1] - win + 1
+
+    def everywhere(self, c: Config) -> np.ndarray:
+        """(..., windows, letters)."""
+        return _coefficients(c, lambda k, o: self.sums[k][..., o : o + self.windows], np.arange(self.windows))
+
+    def at(self, c: Config, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(places, letters) of chosen windows of a matrix of series."""
+        return _coefficients(c, lambda k, o: self.sums[k][rows, starts + o], starts)
+
+
+def _coefficients(c: Config, sums: Callable[[int, int], np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """sums(k, o): the k-th sum at a distance o from the starts of the windows."""
+    mean = (sums(0, c.win) - sums(0, 0)) / c.win
+    variance = (sums(1, c.win) - sums(1, 0)) / c.win - mean * mean
     std = np.where(variance > 0, np.sqrt(np.maximum(variance, 0)), 1.0)
     out = []
     for a, b in segment_starts(c.win, c.letters if c.kind == "sax" else c.letters // 2):
-        total, k = s[b : b + n] - s[a : a + n], b - a
+        total, k = sums(0, b) - sums(0, a), b - a
         if c.kind == "sax":
             out.append((total / k - mean) / std)
         else:
-            timed = st[b : b + n] - st[a : a + n] - (np.arange(n) + a) * total
+            timed = sums(2, b) - sums(2, a) - (starts + a) * total
             slope = (timed - (k - 1) / 2 * total) / (k * (k * k - 1) / 12 * std)
             out += [slope, (total / k - mean) / std - slope * ((k - 1) / 2)]
-    return np.stack(out, axis=1)
+    return np.stack(out, axis=-1)
 
 
-def words_of(x: np.ndarray, c: Config, bounds: list[np.ndarray]) -> np.ndarray:
-    """The words of every window, or of the locally filled ones."""
-    coeffs, bits = coefficients(x, c), num_bits(c.card)
-    word = np.zeros(len(coeffs), dtype=np.int64)
+def coefficients(x: np.ndarray, c: Config) -> np.ndarray:
+    """(..., windows, letters): the coefficients of every window of one series, or of each of a matrix."""
+    return Prefix(x, c.win).everywhere(c)
+
+
+def encode(coeffs: np.ndarray, c: Config, bounds: list[np.ndarray]) -> np.ndarray:
+    bits = num_bits(c.card)
+    word = np.zeros(coeffs.shape[:-1], dtype=np.int64)
     for i, b in enumerate(bounds):
-        word = word << bits | np.minimum(np.searchsorted(b, coeffs[:, i], side="right"), c.card - 1)
-    return fill_local(word, c.win) if c.fill else word
+        word = word << bits | np.minimum(np.searchsorted(b, coeffs[..., i], side="right"), c.card - 1)
+    return word
+
+
+@dataclass
+class Runs:
+    """Stretches of equal words: whose, from where, how long, which word; in order. evaluated: the windows looked at."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    words: np.ndarray
+    evaluated: int
+
+
+def filled_runs(x: np.ndarray, c: Config, bounds: list[np.ndarray]) -> Runs:
+    """Local filling of a matrix of series that only looks at the windows it needs, level by level: those at multiples of
+    the window length and the last one, then the middles of stretches whose ends differ. A stretch whose ends are equal
+    takes their word."""
+    known = Prefix(x, c.win)
+    many, last = len(x), known.windows - 1
+    anchors = np.array([*range(0, last, c.win), last])
+    rows, places = np.repeat(np.arange(many), len(anchors)), np.tile(anchors, many)
+    words = encode(known.at(c, rows, places), c, bounds)
+    evaluated = len(words)
+    ends = places == last
+    done = [(rows[ends], places[ends], np.ones(many, dtype=np.int64), words[ends])]
+    begin = np.flatnonzero(~ends)
+    low, high, first, second, whose = places[begin], places[begin + 1], words[begin], words[begin + 1], rows[begin]
+    while len(low):
+        closed = (first == second) | (high - low < 2)
+        done.append((whose[closed], low[closed], (high - low)[closed], first[closed]))
+        low, high, first, second, whose = (v[~closed] for v in (low, high, first, second, whose))
+        middle = low + (high - low + 1) // 2
+        between = encode(known.at(c, whose, middle), c, bounds) if len(low) else first
+        evaluated += len(low)
+        low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
+        first, second, whose = np.concatenate([first, between]), np.concatenate([between, second]), np.tile(whose, 2)
+    rows, starts, lengths, words = (np.concatenate(v) for v in zip(*done, strict=True))
+    order = np.lexsort((starts, rows))
+    return Runs(rows[order], starts[order], lengths[order], words[order], evaluated)
+
+
+def words_of(x: np.ndarray, c: Config, bounds: list[np.ndarray]) -> np.ndarray:
+    """The words of every window of a series, or of the locally filled ones."""
+    if c.fill:
+        runs = filled_runs(np.asarray(x, dtype=np.float64)[None], c, bounds)
+        return np.repeat(runs.words, runs.lengths)
+    return encode(coefficients(x, c), c, bounds)
+
+
+def bags_of(x: np.ndarray, c: Config, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and count of a matrix of series of equal length, repeats collapsed; in order of row and word."""
+    if c.fill:
+        runs = filled_runs(x, c, bounds)
+        rows, words = runs.rows, runs.words
+    else:
+        words = encode(coefficients(x, c), c, bounds)
+        rows, words = np.repeat(np.arange(len(x)), words.shape[1]), words.ravel()
+    new = np.r_[True, (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])][: len(words)]
+    rows, words = rows[new], words[new]
+    order = np.lexsort((words, rows))
+    rows, words = rows[order], words[order]
+    first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])][: len(words)])
+    return rows[first], words[first], np.diff(np.append(first, len(words)))
 
 
 def bag_of(words: np.ndarray, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +191,52 @@ def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
     return zip(*(frame[k] for k in ("series_id", "n", "first", "upto", "offset", "values")), strict=True)
 
 
+def cuts(configs: list[Config], bounds: dict[int, list[list[float]]] | None) -> dict[int, list[np.ndarray]]:
+    """Breakpoints by configuration and letter; Gaussian ones where none are given."""
+    bounds = bounds or {}
+    return {c.cfg_id: [np.asarray(b) for b in bounds.get(c.cfg_id) or [GAUSSIAN[c.card]] * c.letters] for c in configs}
+
+
+def matrices(values: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of series of equal length, and the matrix of their points; MATRIX points at once or one series."""
+    lengths = values.map(len).to_numpy()
+    for n in np.unique(lengths):
+        places = np.flatnonzero(lengths == n)
+        for part in np.array_split(places, -(-len(places) * max(int(n), 1) // MATRIX)):
+            yield part, np.array([np.asarray(v, dtype=np.float64) for v in values.iloc[part]]).reshape(len(part), int(n))
+
+
+def long_bags(x: np.ndarray, configs: list[Config], c: Config, bounds: list[np.ndarray], points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`bags_of` long series, piece by piece: memory is that of a piece."""
+    widest, n = max(k.win for k in configs), x.shape[1]
+    step, out = max(points, 4 * widest), []
+    for i, values in enumerate(x):
+        found = []
+        for first in range(0, n, step):
+            upto, offset = min(first + step, n), max(first - widest, 0)
+            part, low, high = _piece((None, n, first, upto, offset, values[offset : upto + 2 * widest]), c)
+            if low < high:
+                found.append(bag_of(words_of(part, c, bounds), low, high))
+        words, where = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+        out.append((np.full(len(words), i), words, np.bincount(where, np.concatenate([k for _, k in found])).astype(np.int64)))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
 def grid_bag(
     series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, points: int = POINTS
 ) -> DataFrame:
     """(cfg_id, series_id, word, cnt) for (series_id, values). bounds: per cfg_id, where they aren't the Gaussian ones."""
-    bounds = bounds or {}
+    known = cuts(configs, bounds)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {
-            c.cfg_id: [np.asarray(b) for b in bounds.get(c.cfg_id) or [GAUSSIAN[c.card]] * c.letters] for c in configs
-        }
+    def whole_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids = frame["series_id"].to_numpy()
+            for places, x in matrices(frame["values"]):
+                for c in configs:
+                    rows, words, counts = bags_of(x, c, known[c.cfg_id])
+                    yield pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": ids[places][rows], "word": words, "cnt": counts})
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in _rows(frame):
                 parts = []
@@ -130,8 +250,22 @@ def grid_bag(
 
     schema = "cfg_id int, series_id long, word long, cnt long"
     whole, cut = _pieces(series, configs, points)
-    added = cut.mapInPandas(run, schema).groupBy("cfg_id", "series_id", "word").agg(F.sum("cnt").alias("cnt"))
-    return whole.mapInPandas(run, schema).unionByName(added)
+    added = cut.mapInPandas(pieces, schema).groupBy("cfg_id", "series_id", "word").agg(F.sum("cnt").alias("cnt"))
+    return whole.select("series_id", "values").mapInPandas(whole_ones, schema).unionByName(added)
+
+
+def grid_words(series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None) -> DataFrame:
+    """(cfg_id, series_id, pos, word) of every window, locally filled where a configuration says so."""
+    known = cuts(configs, bounds)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for series_id, values in zip(frame["series_id"], frame["values"], strict=True):
+                for c in configs:
+                    words = words_of(values, c, known[c.cfg_id])
+                    yield pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": series_id, "pos": np.arange(len(words), dtype=np.int32), "word": words})
+
+    return series.select("series_id", "values").mapInPandas(run, "cfg_id int, series_id long, pos int, word long")
 
 
 def sampled_coeffs(series: DataFrame, configs: list[Config], points: int = POINTS) -> DataFrame:
