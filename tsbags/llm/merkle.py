@@ -84,8 +84,8 @@ def _meet(state: DataFrame, keys: list[str], span: int, fanout: int) -> DataFram
         *keys, F.floor(node / fanout).alias("_meeting"), "_at", F.struct((node % fanout).cast("int").alias("place"), F.col("held").alias("digest")).alias("_said"),
         F.when(F.col("_at") == low, F.struct("block", "blocks", "held", "path")).alias("_me"),
     )
-    met = asked.groupBy(*keys, "_meeting", "_at").agg(F.sort_array(F.collect_list("_said")).alias("_run"), F.collect_list("_me").alias("_all"))
-    each = met.withColumn("_me", F.explode("_all")).select(*keys, "_me.*", F.transform("_run", lambda s: s["digest"]).alias("_run"))
+    met = asked.groupBy(*keys, "_meeting", "_at").agg(F.sort_array(F.collect_list("_said")).alias("_run"), F.collect_list("_me").alias("_members"))
+    each = met.withColumn("_me", F.explode("_members")).select(*keys, "_me.*", F.transform("_run", lambda s: s["digest"]).alias("_run"))
     step = F.array(F.struct((node % fanout).cast("int").alias("place"), F.col("_run").alias("run")))
     return each.select(
         *keys, "block", "blocks", F.when(nodes > 1, digest(F.col("_run"))).otherwise(F.col("held")).alias("held"),
@@ -134,8 +134,8 @@ def manifest(leaves: DataFrame, group: str, order: list[str], kept: list[str], f
     named = leaves.withColumn("_named", F.col(group).isNotNull()).withColumn("_tree", F.coalesce(F.col(group).cast("string"), F.lit("")))
     keys = ["_named", "_tree"]
     hashed, above = tree(named, keys, order, kept, fanout, levels)
-    subroots = above.filter("block = 0").select(*keys, F.col("top").alias("leaf"), F.lit(0).alias("_all"))
-    tops = _paths(*tree(subroots, ["_all"], keys, keys, fanout, levels), ["_all"], ["leaf", *keys], fanout, levels)
+    subroots = above.filter("block = 0").select(*keys, F.col("top").alias("leaf"), F.lit(0).alias("_whole"))
+    tops = _paths(*tree(subroots, ["_whole"], keys, keys, fanout, levels), ["_whole"], ["leaf", *keys], fanout, levels)
     tops = tops.select(*keys, F.col("top").alias("root"), F.col("path").alias("_upper"))  # a row per group
     # onto the rows of blocks, not of leaves: a group of any size is a row per block here
     whole = above.join(tops, keys).select(*keys, "block", F.struct("top", "root").alias("top"), F.concat("above", "_upper").cast(PATH).alias("above"))
