@@ -319,6 +319,33 @@ def test_a_class_beyond_one_task(spark):
             assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 3
 
 
+def test_clusters_are_the_same_in_a_task_and_over_all(spark, monkeypatch):
+    """Counts without plain clusters: every class in a task, in many small pieces, and some classes at once."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for method, label, n in ((1, 0, 70), (1, 1, 40), (2, 0, 70), (2, 5, 25), (2, 6, 8)):
+        for i in range(n):
+            x = rng.poisson(0.4 + (i % 4 == 0), 30) * (rng.random(30) < 0.6)
+            rows.append((method, 10 * i + label, label, [int(p) + 3 for p in np.flatnonzero(x)], [float(v) for v in x[x > 0]]))
+    frame = spark.createDataFrame(rows, "method_id int, series_id long, label int, places array<long>, counts array<double>").repartition(5)
+    said = lambda cells: sorted(map(tuple, subclasses.clusters(frame, cells=cells).select("method_id", "label", "series_id", "cluster").collect()))
+    inside = said(subclasses.CELLS)
+    assert len(inside) == len(rows) and len({r[:2] + r[3:] for r in inside}) > 6
+    monkeypatch.setattr(subclasses, "GROUPS", 3)
+    assert said(1) == said(900) == inside
+
+
+def test_criterion_of_given_clusters(spark):
+    rng = np.random.default_rng(13)
+    x, side = rng.poisson(1.0, (30, 6)).astype(float), rng.integers(0, 3, 30)
+    rows = [(1, i, 0, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "method_id int, series_id long, label int, places array<long>, counts array<double>")
+    given = spark.createDataFrame([(1, i, 0, int(k)) for i, k in enumerate(side)], "method_id int, series_id long, label int, cluster int")
+    spread = sum(((x[side == k] - x[side == k].mean(axis=0)) ** 2).sum() for k in range(3))
+    got = subclasses.criteria(frame, given).first()
+    assert math.isclose(got.bic, subclasses.criterion(spread, [int((side == k).sum()) for k in range(3)], 6), rel_tol=1e-9)
+
+
 def test_bits(spark):
     w = F.lit(0b110101).cast("long")
     row = spark.range(1).select(

@@ -632,6 +632,18 @@ def _given(spark, d):
     return bag, ranks, labels, cut(subclasses.subclass_ids(labels.select(F.lit(4).alias("method_id"), "series_id", "label", cluster.alias("cluster"))))
 
 
+@query(Q.query(GIVEN_BAG, "given AS (SELECT series_id, label // 10 AS label, label AS cluster FROM labels)",
+               f"cells AS (SELECT g.label, cluster, rk, cnt FROM bag JOIN (SELECT * FROM ranks WHERE rk <= {subclasses.FEATURES}) USING (word) JOIN given g USING (series_id))",
+               "used AS (SELECT label, count(DISTINCT rk) AS m FROM cells GROUP BY label)", "one AS (SELECT label, cluster, count(*) AS n FROM given GROUP BY label, cluster)",
+               "added AS (SELECT label, cluster, sum(s2) AS squares, sum(s * s) AS square FROM (SELECT label, cluster, rk, sum(cnt) AS s, sum(cnt * cnt) AS s2 FROM cells GROUP BY ALL) GROUP BY label, cluster)",
+               "whole AS (SELECT label, count(*) AS k, sum(n)::DOUBLE AS r, sum(squares - square / n) AS spread, sum(n * ln(n)) AS logs FROM one JOIN added USING (label, cluster) GROUP BY label)",
+               """SELECT label::INT AS label, k, round(spread, 6) AS spread, round(-(r / 2 * (ln(2 * pi()) + m * ln(spread / (r - k))) + (r - k * k) / 2 - logs + r * ln(r)) - k * (m + 1) / 2 * ln(r), 6) AS bic
+ FROM whole JOIN used USING (label)"""))
+def x2_criterion_given(spark, d):
+    bag, ranks, labels, numbered = _given(spark, d)
+    return subclasses.criteria(subclasses.features(bag, ranks, labels), numbered.drop("subclass")).select("label", "k", *six("spread", "bic"))
+
+
 @query("""WITH c AS (SELECT vec_id AS series_id, label, CASE WHEN label % 2 = 0 THEN vec_id % 2 ELSE 0 END AS cluster FROM embeddings)
 SELECT series_id, label, (dense_rank() OVER (ORDER BY label, cluster) - 1)::INT AS subclass, (SELECT count(DISTINCT (label, cluster)) = count(DISTINCT label) FROM c) AS unsplit FROM c""")
 def x3_subclass_ids_given(spark, d):
@@ -797,7 +809,7 @@ LENGTHS = {"low": 0.25, "step": 0.25}  # windows of a quarter, half, three quart
 
 def _split(spark, d):
     rows = S.embedding_series(spark, d)
-    return rows.filter("series_id % 4 <> 0"), rows.filter("series_id % 4 = 0")
+    return rows.filter("series_id % 4 <> 0"), S.spread(rows.filter("series_id % 4 = 0"))
 
 
 @query()
@@ -819,6 +831,13 @@ def r6_hybrid(spark, d):
     return hybrid.score(hybrid.fit(train, (4, 6), (6,), **LENGTHS), test)
 
 
+@query()
+def r6_hybrid_default_grid(spark, d):
+    """Nine methods (SAX words of 3-8 letters, SLA words of 6, 8, 10) over windows in steps of 2.5 %."""
+    train, test = _split(spark, d)
+    return hybrid.score(hybrid.fit(train), test)
+
+
 @query()
 def r6_stream(spark, d):
     train, test = _split(spark, d)

@@ -22,8 +22,11 @@ from tsbags.session import cut
 DIGITS = 9
 #: Ranks and series that a task of the sweep handles at once.
 CHUNK, SERIES = 4_096, 2_000
+#: Series that a task takes at least, where there are more cores than tasks.
+FEW = 200
 #: Numbers of a step's matrix (ranks x classes x series), and of a block's hits (hits x classes).
 STEP, HITS = 65_536, 1_000_000
+TINY = 1e-300
 
 
 def profile(classes: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("word",), by: tuple[str, ...] = ()) -> DataFrame:
@@ -156,33 +159,58 @@ class ClassCounts:
         order = np.argsort(block.at, kind="stable")
         series, at, changes = block.series[order], block.at[order], [v[order] for v in self.changes(own[block.series], block.at, block.x)]
         step = max(1, STEP // (classes * many))
+        room = np.zeros((3, min(step, width), classes, many))  # used again by every step
         for low in range(0, width, step):
             high = min(low + step, width)
             a, b = np.searchsorted(at, (low, high))
             rows, whose = at[a:b] - low, series[a:b]
             added = []
-            for before, change in zip((ed, c, p), changes, strict=False):
-                part = np.zeros((high - low, classes, many))
+            for before, change, part in zip((ed, c, p), changes, room[:, : high - low], strict=False):
+                part[:] = 0.0
                 part[rows, :, whose] = change[a:b]
                 part[0] += before
-                added.append(np.cumsum(part, axis=0, out=part))
+                added.append(_running(part))
             norm = np.zeros((high - low, many))
             norm[rows, whose] = changes[3][a:b]
             norm[0] += j
-            norm = np.cumsum(norm, axis=0, out=norm)
+            _running(norm)
             ed, c, p, j = (*(v[-1].copy() for v in added), norm[-1].copy())
-            far = added[0] + self.ed[low:high, :, None]
+            far, near = added[0], np.multiply(added[2], added[2], out=added[2])
+            far += self.ed[low:high, :, None]
             far[:, own, each] += self.loss[low:high, own]
-            bottom = (added[1] + self.c[low:high, :, None]) * norm[:, None]
-            near = np.divide(added[2] ** 2, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+            bottom = added[1]
+            bottom += self.c[low:high, :, None]
+            bottom *= norm[:, None]
+            near /= np.maximum(bottom, TINY, out=bottom)  # without a norm there is no product either
             for sim, said in zip(("ed", "cos"), predicted(far, near), strict=True):
                 out[sim][low:high] = (truth[said] == truth[own]).sum(axis=1)
         return out
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Running sums along the first axis, in place."""
+    for before, here in zip(x, x[1:], strict=False):
+        here += before
+    return x
+
+
 def predicted(far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class (second axis) of the least distance, and of the greatest similarity; the first of equal ones."""
-    return np.round(far, DIGITS).argmin(axis=1), np.round(near, DIGITS).argmax(axis=1)
+    """The class (second axis) of the least distance, and of the greatest similarity; the first of equal ones, to DIGITS.
+    far doesn't shrink along the first axis. The matrices are used up."""
+    near *= -1.0
+    out, classes = [], far.shape[1]
+    whole = far[-1].max(initial=0.0) * 10.0**DIGITS * classes < 2.0**52  # numbers of a measure and a class in one
+    for measure in (far, near):
+        measure *= 10.0**DIGITS
+        np.rint(measure, out=measure)
+        if whole:
+            measure *= classes
+            measure += np.arange(classes).reshape(1, -1, *[1] * (measure.ndim - 2))
+            least = measure.min(axis=1)
+            out.append((least - classes * np.floor(least / classes)).astype(np.int64))
+        else:
+            out.append(measure.argmin(axis=1))
+    return tuple(out)
 
 
 @dataclass
@@ -254,12 +282,13 @@ def sweep(
         return known[method]
 
     most_series = max(sum(_by_method(sizes, m).values()) for m in sizes) if sizes else 0
-    parts = max(1, -(-most_series // SERIES))
     if at is not None:  # what lies behind the ranks asked for adds nothing
         last = F.create_map(*[F.lit(v) for m in {m for m, _ in at} for v in (m, max(at.get((m, sim), 0) for sim in ("ed", "cos")))]) if at else F.create_map()
         ranked = ranked.filter(F.col("rk") <= last[F.col("method_id")])
     widths = cut(ranked.groupBy("method_id").agg(F.max("rk").alias("_width")))  # a row per method
-    most = widths.agg(F.max("_width")).first()[0] or 0
+    most, chunks = widths.agg(F.max("_width"), F.sum(F.ceil(F.col("_width") / CHUNK))).first()
+    most, cores = most or 0, rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-most_series // SERIES), min(-(-cores // (chunks or 1)), -(-most_series // FEW)))
     number = lambda rk: F.floor((rk - 1) / CHUNK).cast("int")
     cells = ranked.select(
         "method_id", number(F.col("rk")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "rk", "label", "cnt"
@@ -323,20 +352,23 @@ def sweep(
         method, series, label = whose
         names = labels_of(method)[0]
         ed, c, p, j = np.split(np.asarray(state), [len(names), 2 * len(names), 3 * len(names)])
-        near = np.divide(p**2, c * j, out=np.zeros_like(c), where=c * j > 0)
-        said = zip(("ed", "cos"), predicted(ed[None], near[None]), strict=True)
+        near = p**2 / np.maximum(c * j, TINY)
+        said = zip(("ed", "cos"), predicted(ed[None].copy(), near[None]), strict=True)
         return [(method, sim, series, label, int(names[i[0]])) for sim, i in said if (method, sim) in at]
 
-    dealt = cells.groupBy(*key)
+    # as many partitions as asked for, since a task's work is not in the bytes that Spark would coalesce by
+    tasks = max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cells.repartition(tasks, *key).groupBy(*key)
+    dealt_out = lambda df: df.repartition(tasks, *key).groupBy(*key)
     state = "method_id int, chunk int, series_id long, label int, state array<double>"
     if at is not None or most > CHUNK:
-        totals = dealt.cogroup(pieces.groupBy(*key)).applyInPandas(add_up, state)
+        totals = dealt.cogroup(dealt_out(pieces)).applyInPandas(add_up, state)
         totals = totals.repartition("method_id", "series_id").sortWithinPartitions("method_id", "series_id", "label", "chunk")
         if at is not None:
             return totals.mapInPandas(say, "method_id int, sim string, series_id long, own int, predicted int")
         before = cut(totals.mapInPandas(_carried, totals.schema))
         pieces = pieces.join(before.drop("label"), ["method_id", "chunk", "series_id"])
-    return dealt.cogroup(pieces.groupBy(*key)).applyInPandas(count, "method_id int, sim string, rk int, n_correct long")
+    return dealt.cogroup(dealt_out(pieces)).applyInPandas(count, "method_id int, sim string, rk int, n_correct long")
 
 
 def placed(bag: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -50,6 +50,12 @@ def wide(points: DataFrame) -> DataFrame:
     )
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """The same, dealt to as many tasks as there are cores where they are fewer: a few small files are heavy work here."""
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    return series.repartition(cores, "series_id") if series.rdd.getNumPartitions() < cores else series
+
+
 def zero_pad(series: DataFrame) -> DataFrame:
     """Every series padded with zeros to the longest; `len` stays the true length."""
     longest = series.agg(F.max("len").alias("_longest"))
