@@ -59,6 +59,12 @@ def _points(spark, d):
     return S.events_user(spark, d)
 
 
+def _long_points(spark, d):
+    """The same places by ranges of events, so no task holds a series."""
+    value = F.round(F.col("value") * 100).cast("long")
+    return S.points_of_long_events(table(spark, d, "events"), "user_id", ["ts", "event_id"], value)
+
+
 def _series(spark, d):
     """The same as series of doubles."""
     rows = S.wide(_points(spark, d))
@@ -160,6 +166,20 @@ def p2_window_stats(spark, d):
     return positions.window_stats(_points(spark, d), WIN).select("series_id", F.col("pos").cast("long"), *six("mean", "std"))
 
 
+#: Positions of a range: series of some 70 points are cut into several here, over as many tasks.
+RANGE = 32
+
+
+@query(ORACLE_SQL["p1_prefix_sums"])
+def p1_prefix_sums_in_pieces(spark, d):
+    return positions.prefix_sums(_long_points(spark, d), RANGE).select("series_id", F.col("pos").cast("long"), "s", "s2", "st")
+
+
+@query(ORACLE_SQL["p2_window_stats"])
+def p2_window_stats_in_pieces(spark, d):
+    return positions.window_stats(_long_points(spark, d), WIN, piece=RANGE).select("series_id", F.col("pos").cast("long"), *six("mean", "std"))
+
+
 @query(Q.query(Q.EVENTS, "t AS (SELECT series_id, pos, sum(value) OVER w AS total, count(*) OVER w AS k FROM points WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))",
                "SELECT series_id, pos, total::BIGINT AS total FROM t WHERE k = 5"))
 def p3_segment_sums(spark, d):
@@ -209,11 +229,21 @@ def p8_sax(spark, d):
     return _rounded(positions.sax(_points(spark, d), WIN, SIZE), SIZE)
 
 
+@query(ORACLE_SQL["p8_sax"])
+def p8_sax_in_pieces(spark, d):
+    return _rounded(positions.sax(_long_points(spark, d), WIN, SIZE, piece=RANGE), SIZE)
+
+
 @query(Q.query(Q.EVENTS, Q.sla(WIN, 4), f"SELECT series_id, pos, {C4} FROM coeffs"))
 def p9_sla(spark, d):
     return _rounded(positions.sla(_points(spark, d), WIN, 4), 4)
 
 
+@query(ORACLE_SQL["p9_sla"])
+def p9_sla_in_pieces(spark, d):
+    return _rounded(positions.sla(_long_points(spark, d), WIN, 4, piece=RANGE), 4)
+
+
 C6 = ", ".join(f"round(c{i}, 6) AS c{i}" for i in range(6))
 
 
@@ -739,6 +769,13 @@ def r1_grid_bag(spark, d):
     return grid.grid_bag(S.embedding_series(spark, d), EMBEDDED).select("cfg_id", "series_id", "word", "cnt")
 
 
+@query(ORACLE_SQL["r1_grid_bag"])
+def r1_grid_bag_of_points(spark, d):
+    """From points instead of arrays: no row holds a series, only a piece (here of 128 points, four of the widest windows)."""
+    rows = S.embedding_series(spark, d)
+    return grid.grid_bag_of_points(S.points_of_arrays(rows, "series_id", "values"), EMBEDDED, size=64).select("cfg_id", "series_id", "word", "cnt")
+
+
 HOLD = 4
 TRAINED = (*BAG, Q.LABELS.replace("FROM labels GROUP BY", f"FROM labels WHERE series_id % {HOLD} <> 0 GROUP BY"),
            f"classes AS (SELECT word, label, CAST(sum(cnt) AS BIGINT) AS cnt FROM bag JOIN labels USING (series_id) WHERE series_id % {HOLD} <> 0 GROUP BY word, label)", Q.PROFILE,

@@ -177,6 +177,21 @@ def _pieces(series: DataFrame, configs: list[Config], points: int) -> tuple[Data
     return whole, cut.repartition("series_id", "first")
 
 
+def _pieces_of_points(points: DataFrame, configs: list[Config], size: int) -> DataFrame:
+    """The same pieces of (series_id, pos, value): no row holds more than a piece, whatever the length of a series."""
+    widest = max((c.win for c in configs), default=1)
+    step = max(size, 4 * widest)
+    lengths = points.groupBy("series_id").agg(F.count("*").alias("n"))  # a row per series
+    own = F.floor(F.col("pos") / step)
+    whose = F.array(own, F.when(F.col("pos") >= (own + 1) * step - widest, own + 1), F.when((own > 0) & (F.col("pos") < own * step + 2 * widest), own - 1))
+    held = points.select("series_id", "pos", "value", F.explode(F.array_compact(whose)).alias("_piece"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value")))), lambda e: e["value"])
+    first = F.col("_piece") * step
+    return held.groupBy("series_id", "_piece").agg(values.alias("values")).join(lengths, "series_id").filter(first < F.col("n")).select(
+        "series_id", "n", first.alias("first"), F.least(first + step, F.col("n")).alias("upto"), F.greatest(first - widest, F.lit(0)).alias("offset"), "values"
+    )
+
+
 def _piece(row: tuple, c: Config) -> tuple[np.ndarray, int, int]:
     """The points that a piece needs for its windows, and the places of these among all windows of the points."""
     _, n, first, upto, offset, values = row
@@ -222,19 +237,11 @@ def long_bags(x: np.ndarray, configs: list[Config], c: Config, bounds: list[np.n
     return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
-def grid_bag(
-    series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, points: int = POINTS
-) -> DataFrame:
-    """(cfg_id, series_id, word, cnt) for (series_id, values). bounds: per cfg_id, where they aren't the Gaussian ones."""
-    known = cuts(configs, bounds)
+BAG = "cfg_id int, series_id long, word long, cnt long"
 
-    def whole_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids = frame["series_id"].to_numpy()
-            for places, x in matrices(frame["values"]):
-                for c in configs:
-                    rows, words, counts = bags_of(x, c, known[c.cfg_id])
-                    yield pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": ids[places][rows], "word": words, "cnt": counts})
+
+def _added(cut: DataFrame, configs: list[Config], known: dict[int, list[np.ndarray]]) -> DataFrame:
+    """The bags of series in pieces: the counts of all pieces added up."""
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -248,10 +255,32 @@ def grid_bag(
                 if parts:
                     yield pd.concat(parts, ignore_index=True)
 
-    schema = "cfg_id int, series_id long, word long, cnt long"
+    return cut.mapInPandas(pieces, BAG).groupBy("cfg_id", "series_id", "word").agg(F.sum("cnt").alias("cnt"))
+
+
+def grid_bag_of_points(
+    points: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, size: int = POINTS
+) -> DataFrame:
+    """`grid_bag` of (series_id, pos, value), places from 0: series of any length, in pieces of `size` points."""
+    return _added(_pieces_of_points(points, configs, size), configs, cuts(configs, bounds))
+
+
+def grid_bag(
+    series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, points: int = POINTS
+) -> DataFrame:
+    """(cfg_id, series_id, word, cnt) for (series_id, values). bounds: per cfg_id, where they aren't the Gaussian ones."""
+    known = cuts(configs, bounds)
+
+    def whole_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids = frame["series_id"].to_numpy()
+            for places, x in matrices(frame["values"]):
+                for c in configs:
+                    rows, words, counts = bags_of(x, c, known[c.cfg_id])
+                    yield pd.DataFrame({"cfg_id": np.int32(c.cfg_id), "series_id": ids[places][rows], "word": words, "cnt": counts})
+
     whole, cut = _pieces(series, configs, points)
-    added = cut.mapInPandas(pieces, schema).groupBy("cfg_id", "series_id", "word").agg(F.sum("cnt").alias("cnt"))
-    return whole.select("series_id", "values").mapInPandas(whole_ones, schema).unionByName(added)
+    return whole.select("series_id", "values").mapInPandas(whole_ones, BAG).unionByName(_added(cut, configs, known))
 
 
 def grid_words(series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tsbags.functions.ranks import exact_ranks
 from tsbags.session import table
 
 
@@ -38,6 +39,13 @@ def points_of_events(df: DataFrame, series: str, order: list[str], value: Column
     return df.select(F.col(series).alias("series_id"), (F.row_number().over(at) - 1).alias("pos"), value.alias("value"))
 
 
+def points_of_long_events(df: DataFrame, series: str, order: list[str], value: Column) -> DataFrame:
+    """The same where a series may have more events than a task can sort: its places come from exact ranks by ranges.
+    Events without a series are left out."""
+    rows = df.filter(F.col(series).isNotNull()).select(F.col(series).alias("series_id"), *[c for c in order if c != series], value.alias("value"))
+    return exact_ranks(rows, ["series_id"], order).select("series_id", (F.col("rn") - 1).cast("int").alias("pos"), "value")
+
+
 def points_of_arrays(df: DataFrame, series: str, values: str | Column) -> DataFrame:
     return df.select(F.col(series).alias("series_id"), F.posexplode(values).alias("pos", "value"))
 
