@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tsbags.functions import bits, positions
 from tsbags.operators import bags, classify, discretize, ensemble, grid, kernel, profiles, scores, subclasses
-from tsbags.plans import bopf, hybrid
+from tsbags.plans import bopf, hybrid, measured
 from tsbags.plans import oracle as Q
 from tsbags.plans.common import ranked_counts, sizes_of, swept
 from tsbags.sources import series as S
@@ -410,6 +411,15 @@ def d13_word_distance(spark, d):
     return _places(pairs, discretize.distance(F.col("word"), F.col("q"), SIZE, CARD).cast("long").alias("dist"))
 
 
+@query(Q.query(*CLASSES, "asked AS (SELECT DISTINCT word FROM words)",
+               "pairs AS (SELECT a.word, c.label, c.word AS nearest, " + " + ".join(f"abs(((a.word >> {2 * i}) & 3) - ((c.word >> {2 * i}) & 3))" for i in range(4)) + " AS dist FROM asked a CROSS JOIN classes c WHERE c.cnt > 1)",
+               "SELECT word, label, nearest, dist::INT AS dist FROM pairs QUALIFY row_number() OVER (PARTITION BY word, label ORDER BY dist, nearest) = 1"))
+def d13_nearest_word(spark, d):
+    """The nearest word of every class that it has more than once, for every word there is."""
+    often = bags.class_bag(_bag(spark, d), _labels(spark, d)).filter("cnt > 1")
+    return discretize.nearest_words(_words(spark, d), often, SIZE, CARD, ("label",)).select("word", "label", "nearest", "dist")
+
+
 @query(Q.query(*WORDS, """SELECT series_id, pos, (word << 2) | 3 AS appended, word >> 4 AS trimmed, (word >> 2) & 15 AS got, (word & ~(15 << 2)) | (5 << 2) AS put,
  word & ~(15 << 2) AS zeros, word | (15 << 2) AS ones FROM words"""))
 def d14_bits(spark, d):
@@ -769,6 +779,28 @@ def r1_grid_bag(spark, d):
     return grid.grid_bag(S.embedding_series(spark, d), EMBEDDED).select("cfg_id", "series_id", "word", "cnt")
 
 
+#: A transform of one's own: the steps from each segment's mean to the next, over the window's deviation.
+grid.KINDS["steps"] = grid.Kind(
+    lambda size: size,
+    lambda c, sums, starts, mean, std: [
+        ((sums(0, e) - sums(0, b)) / (e - b) - (sums(0, b) - sums(0, a)) / (b - a)) / std
+        for (a, b), (_, e) in pairwise(positions.segment_starts(c.win, c.word_size + 1))
+    ],
+)
+
+
+def _steps_words(win: int, m: int) -> str:
+    parts = positions.segment_starts(win, m + 1)
+    means = ", ".join(f"{Q.between('s', a, b)} / {b - a}.0::DOUBLE AS m{i}" for i, (a, b) in enumerate(parts))
+    steps = ", ".join(f"(m{i + 1} - m{i}) / std AS c{i}" for i in range(m))
+    return f"{Q.RUNNING}, {Q.windows(win, means)}, coeffs AS (SELECT series_id, pos, {steps} FROM windowed)"
+
+
+@query(Q.query(Q.EMBEDDINGS, _steps_words(20, 4), Q.words(4, 4, 2), Q.BAG, "SELECT 7 AS cfg_id, series_id, word, cnt FROM bag"))
+def r1_own_transform(spark, d):
+    return grid.grid_bag(S.embedding_series(spark, d), [grid.Config(7, "steps", 4, 20, 4)]).select("cfg_id", "series_id", "word", "cnt")
+
+
 @query(ORACLE_SQL["r1_grid_bag"])
 def r1_grid_bag_of_points(spark, d):
     """From points instead of arrays: no row holds a series, only a piece (here of 128 points, four of the widest windows)."""
@@ -855,6 +887,16 @@ def r6_bopf(spark, d):
     return bopf.score(bopf.fit(train, (3, 4), **LENGTHS), test)
 
 
+@query()
+def r6_measured(spark, d):
+    """A run of the first classifier with its times, through the sink and back."""
+    train, test = _split(spark, d)
+    _, rows = measured.run("embeddings", "run-1", train, test, lambda t: bopf.fit(t, (4,), **LENGTHS))
+    path = shared_folder(spark, "measured")
+    S.write_results(rows, path)
+    return spark.read.parquet(path).select(F.col("dataset").cast("string"), "run_id", "variant", *six("accuracy", "train_s", "test_s_per_series"))
+
+
 @query()
 def r6_bopf_default_grid(spark, d):
     """Sizes 3-7 and windows in steps of 2.5 %: 140 configurations of series of 64 points."""

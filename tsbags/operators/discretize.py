@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsbags.functions.bits import append_bits, get_bits, num_bits, trim_bits
+from tsbags.functions.positions import segment_starts
 from tsbags.functions.ranks import exact_ranks, running_before
 from tsbags.operators.scores import f_statistic
 from tsbags.session import cut
@@ -211,6 +212,52 @@ def distance(a: Column, b: Column, word_size: int, card: int, suffix: int = 0) -
     return reduce(lambda x, y: x + y, parts)
 
 
+def _block(word: Column, letters: int, bits: int, start: int, end: int) -> Column:
+    """The letters from start to end (the first letter is the highest) as a number."""
+    return F.shiftright(word, (letters - end) * bits).bitwiseAND(F.lit((1 << ((end - start) * bits)) - 1))
+
+
+def _candidates(asked: DataFrame, words: DataFrame, letters: int, card: int, keys: tuple[str, ...], radius: int) -> DataFrame:
+    """(keys, word, best): the nearest (dist, word) of those that share a block with a word; all within the radius do.
+
+    With a block more than the radius, words that close agree in a whole block. With a block per letter, in some letter
+    they are no further apart than the radius shared out over the letters.
+    """
+    bits, blocks = num_bits(card), min(radius + 1, letters)
+    reach = 0 if blocks > radius else radius // blocks
+    parts = segment_starts(letters, blocks)
+    entries = lambda word: F.array(*[F.struct(F.lit(i).alias("no"), _block(word, letters, bits, a, b).alias("value")) for i, (a, b) in enumerate(parts)])
+    held = words.select(*keys, F.col("word").alias("_near"), F.explode(entries(F.col("word"))).alias("_b")).select(*keys, "_near", "_b.*")
+    wanted = asked.select(*keys, "word", F.explode(entries(F.col("word"))).alias("_b")).select(*keys, "word", "_b.*")
+    if reach:
+        near = F.sequence(F.greatest(F.col("value") - reach, F.lit(0)), F.least(F.col("value") + reach, F.lit(card - 1).cast("long")))
+        wanted = wanted.withColumn("value", F.explode(near))
+    gap = distance(F.col("word"), F.col("_near"), letters, card).cast("int")
+    return wanted.join(held, [*keys, "no", "value"]).groupBy(*keys, "word").agg(F.min(F.struct(gap.alias("dist"), F.col("_near").alias("nearest"))).alias("_best"))
+
+
+def nearest_words(asked: DataFrame, words: DataFrame, letters: int, card: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, word, nearest, dist): for each distinct word of `asked`, in every group of keys of `words` (keys, word), the
+    word at the least distance; ties go to the smaller word. No group of keys is null, or has no words.
+
+    An index of blocks of letters, searched by growing radius: 0, 1, 2, 4, ... A round answers the words whose nearest
+    lies within its radius, which is most of them in the first ones; only the others go on.
+    """
+    words = cut(words.select(*keys, "word").distinct())
+    groups = words.select(*keys).distinct()  # few: classes, configurations
+    todo = asked.select("word").distinct()
+    todo = cut(todo.join(F.broadcast(groups)) if keys else todo)
+    radius, most, done = 0, letters * (card - 1), []
+    while True:
+        found = cut(todo.join(_candidates(todo, words, letters, card, keys, radius), [*keys, "word"], "left"))
+        near = F.coalesce(F.col("_best.dist") <= radius, F.lit(False))
+        done.append(found.filter(near).select(*keys, "word", "_best.nearest", "_best.dist"))
+        todo = found.filter(~near).select(*keys, "word")
+        if radius >= most or todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        radius = min(max(2 * radius, 1), most)
+
+
 def fill_local(words_: np.ndarray, stride: int) -> np.ndarray:
     """Words with local filling: exact at 0, stride, 2 stride, ..., and the last; between two neighbours of these, a
     stretch whose ends are equal takes their word, another is halved at its middle, whose word is exact."""

@@ -26,12 +26,44 @@ POINTS = 1_000_000
 MATRIX = 200_000
 
 
+#: sums(k, o): the sums of x, x^2 and t x (k = 0, 1, 2) at a distance o from the starts of the windows.
+Sums = Callable[[int, int], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A transform of windows: how many letters a word of a size has, and the coefficients of many windows at once, from
+    their configuration, sums, starts, means and standard deviations."""
+
+    letters: Callable[[int], int]
+    coefficients: Callable[[Config, Sums, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+
+
+def _sax(c: Config, sums: Sums, starts: np.ndarray, mean: np.ndarray, std: np.ndarray) -> list[np.ndarray]:
+    return [((sums(0, b) - sums(0, a)) / (b - a) - mean) / std for a, b in segment_starts(c.win, c.letters)]
+
+
+def _sla(c: Config, sums: Sums, starts: np.ndarray, mean: np.ndarray, std: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for a, b in segment_starts(c.win, c.letters // 2):
+        total, k = sums(0, b) - sums(0, a), b - a
+        timed = sums(2, b) - sums(2, a) - (starts + a) * total
+        slope = (timed - (k - 1) / 2 * total) / (k * (k * k - 1) / 12 * std)
+        out += [slope, (total / k - mean) / std - slope * ((k - 1) / 2)]
+    return out
+
+
+#: Transforms by the name that configurations give. Those of one's own go in here before a grid is made; they are sent to
+#: the tasks with the configurations that name them.
+KINDS: dict[str, Kind] = {"sax": Kind(lambda size: size, _sax), "sla": Kind(lambda size: 2 * lines_of(size), _sla)}
+
+
 @dataclass(frozen=True)
 class Config:
     """One way of turning windows into words."""
 
     cfg_id: int
-    kind: str  # "sax" or "sla"
+    kind: str  # a name of KINDS
     word_size: int
     win: int
     card: int
@@ -40,7 +72,17 @@ class Config:
     @property
     def letters(self) -> int:
         """Coefficients of a window: as many as the word size, which SLA rounds up to an even number."""
-        return self.word_size if self.kind == "sax" else 2 * lines_of(self.word_size)
+        return KINDS[self.kind].letters(self.word_size)
+
+
+def kinds_of(configs: list[Config]) -> dict[str, Kind]:
+    """The transforms that tasks need."""
+    return {c.kind: KINDS[c.kind] for c in configs}
+
+
+def install(kinds: dict[str, Kind]) -> None:
+    """Makes them known where it is called, which is in a task."""
+    KINDS.update(kinds)
 
 
 class Prefix:
@@ -63,21 +105,11 @@ class Prefix:
         return _coefficients(c, lambda k, o: self.sums[k][rows, starts + o], starts)
 
 
-def _coefficients(c: Config, sums: Callable[[int, int], np.ndarray], starts: np.ndarray) -> np.ndarray:
-    """sums(k, o): the k-th sum at a distance o from the starts of the windows."""
+def _coefficients(c: Config, sums: Sums, starts: np.ndarray) -> np.ndarray:
     mean = (sums(0, c.win) - sums(0, 0)) / c.win
     variance = (sums(1, c.win) - sums(1, 0)) / c.win - mean * mean
     std = np.where(variance > 0, np.sqrt(np.maximum(variance, 0)), 1.0)
-    out = []
-    for a, b in segment_starts(c.win, c.letters if c.kind == "sax" else c.letters // 2):
-        total, k = sums(0, b) - sums(0, a), b - a
-        if c.kind == "sax":
-            out.append((total / k - mean) / std)
-        else:
-            timed = sums(2, b) - sums(2, a) - (starts + a) * total
-            slope = (timed - (k - 1) / 2 * total) / (k * (k * k - 1) / 12 * std)
-            out += [slope, (total / k - mean) / std - slope * ((k - 1) / 2)]
-    return np.stack(out, axis=-1)
+    return np.stack(KINDS[c.kind].coefficients(c, sums, starts, mean, std), axis=-1)
 
 
 def coefficients(x: np.ndarray, c: Config) -> np.ndarray:
@@ -242,8 +274,10 @@ BAG = "cfg_id int, series_id long, word long, cnt long"
 
 def _added(cut: DataFrame, configs: list[Config], known: dict[int, list[np.ndarray]]) -> DataFrame:
     """The bags of series in pieces: the counts of all pieces added up."""
+    kinds = kinds_of(configs)
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        install(kinds)
         for frame in frames:
             for row in _rows(frame):
                 parts = []
@@ -269,9 +303,10 @@ def grid_bag(
     series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None, points: int = POINTS
 ) -> DataFrame:
     """(cfg_id, series_id, word, cnt) for (series_id, values). bounds: per cfg_id, where they aren't the Gaussian ones."""
-    known = cuts(configs, bounds)
+    known, kinds = cuts(configs, bounds), kinds_of(configs)
 
     def whole_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        install(kinds)
         for frame in frames:
             ids = frame["series_id"].to_numpy()
             for places, x in matrices(frame["values"]):
@@ -285,9 +320,10 @@ def grid_bag(
 
 def grid_words(series: DataFrame, configs: list[Config], bounds: dict[int, list[list[float]]] | None = None) -> DataFrame:
     """(cfg_id, series_id, pos, word) of every window, locally filled where a configuration says so."""
-    known = cuts(configs, bounds)
+    known, kinds = cuts(configs, bounds), kinds_of(configs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        install(kinds)
         for frame in frames:
             for series_id, values in zip(frame["series_id"], frame["values"], strict=True):
                 for c in configs:
@@ -300,7 +336,10 @@ def grid_words(series: DataFrame, configs: list[Config], bounds: dict[int, list[
 def sampled_coeffs(series: DataFrame, configs: list[Config], points: int = POINTS) -> DataFrame:
     """(cfg_id, letter, val) of the windows that don't overlap: what breakpoints are learned from."""
 
+    kinds = kinds_of(configs)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        install(kinds)
         for frame in frames:
             for row in _rows(frame):
                 for c in configs:
