@@ -7,6 +7,7 @@ from collections import Counter
 import brute
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tsbags.llm import catalog, language
 
@@ -138,3 +139,21 @@ def test_stages_take_awkward_rows(spark, awkward):
             assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
         docs = docs if i in (0, 3) else got
     assert {0 <= r.shard < 24 for r in rows} == {True}
+
+
+OWN = "score lang_pred accepted n_words n_hit n_items items_sha256 contaminated rate copy mix_key _hash _row _text _items _hit_key fingerprint Score_2 own_column".split()
+
+
+def test_stages_leave_own_columns_alone(spark, awkward):
+    """Columns of every name that a stage makes or uses, and a map, keep their values and types."""
+    value = lambda i: F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    docs = awkward.drop("shard", "n_words", "fingerprint").filter("text is not null").dropDuplicates(["doc_id", "text"])
+    docs = docs.select("*", *[value(i).alias(c) for i, c in enumerate(OWN)], F.create_map(F.lit("id"), value("map")).alias("labels"), F.lit(77.5).alias("Accepted_by"))
+    want = {(r.doc_id, r.text): tuple(r) for r in docs.collect()}
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, docs, SF)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        assert [f.dataType for f in got.schema][: len(docs.columns)] == [f.dataType for f in docs.schema], name
+        rows = got.collect()
+        assert rows, name
+        assert all(tuple(r)[: len(docs.columns)] == want[r.doc_id, r.text] for r in rows), name

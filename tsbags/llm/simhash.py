@@ -204,7 +204,9 @@ def keep_one(
     ids = _component_ids(rows, key, close_links(marks, distance, blocks), marks)
     least = rows.join(ids, "fingerprint").groupBy("component_id").agg(F.min(F.struct(F.col(key), "_hash", "fingerprint")).alias("_k"))
     kept = least.select(F.col(f"_k.{key}").alias("_kept"), F.col("_k._hash").alias("_kept_hash")).distinct()
-    first = Window.partitionBy(key, "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in (key, text)])
+    # maps have no order of their own
+    order = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema if f.name not in (key, text)]
+    first = Window.partitionBy(key, "_hash").orderBy(*order)
     one = (
         named.join(kept, (F.col(key) == F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
         .withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row", "_hash")
