@@ -524,6 +524,12 @@ def e4_rank_words(spark, d):
     return _ranks(spark, d).select("word", *six("f"), "rk")
 
 
+@query(ORACLE_SQL["e4_rank_words"])
+def e4_rank_many_words(spark, d):
+    f = scores.f_statistic(_labelled(spark, d), ["word"], "cnt", _sizes(spark, d))
+    return scores.rank_many_words(f, "f", [], drop_zero=True).select("word", *six("f"), "rk")
+
+
 @query(Q.query(*CLASSES, "SELECT label, word, cnt FROM classes QUALIFY rank() OVER (PARTITION BY label ORDER BY cnt DESC) = 1"))
 def e5_extremes(spark, d):
     return scores.extremes(bags.class_bag(_bag(spark, d), _labels(spark, d)), ["label"], "cnt").select("label", "word", "cnt")

@@ -54,7 +54,7 @@ def loo_terms(bag: DataFrame, ranks: DataFrame, labels: DataFrame, sizes: DataFr
     classes = bag.join(labels, "series_id").groupBy("word", "label").agg(F.sum("cnt").alias("cnt"))
     grid = ranks.select("word", "rk").join(F.broadcast(sizes)).join(classes, ["word", "label"], "left").fillna(0, "cnt")
     own = labels.withColumnRenamed("label", "own")
-    rows = grid.join(F.broadcast(own)).join(bag.withColumnRenamed("cnt", "x"), ["series_id", "word"], "left").fillna(0, "x")
+    rows = grid.crossJoin(own).join(bag.withColumnRenamed("cnt", "x"), ["series_id", "word"], "left").fillna(0, "x")
     mine = F.col("label") == F.col("own")
     rows = rows.withColumn("s", F.col("cnt") - F.when(mine, F.col("x")).otherwise(0)).withColumn(
         "m", F.when(mine & (F.col("n") > 1), F.col("n") - 1).otherwise(F.col("n"))

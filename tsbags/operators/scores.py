@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tsbags.functions.ranks import exact_ranks
+
 
 def _per_class(rows: DataFrame, keys: list[str], value: str, sizes: DataFrame) -> DataFrame:
     """One row per key and class: s, s2, and n of the class, n_all, classes. sizes has one row per class: broadcast."""
@@ -47,6 +49,14 @@ def rank_words(scores: DataFrame, score: str, group: list[str], drop_zero: bool
     return kept.withColumn("rk", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def rank_many_words(scores: DataFrame, score: str, group: list[str], drop_zero: bool = False, digits: int = 9) -> DataFrame:
+    """The same for groups of any size: exact ranks by ranges, no task holds a group. The group's columns aren't null."""
+    kept = scores.filter(F.col(score) > 0) if drop_zero else scores
+    ordered = kept.withColumn("_order", -F.round(score, digits))
+    ties = [c for c in ("cfg_id", "word") if c in scores.columns and c not in group]
+    return exact_ranks(ordered, group, ["_order", *ties]).withColumn("rk", F.col("rn").cast("int")).drop("_order", "rn", "n")
+
+
 def extremes(df: DataFrame, group: list[str], value: str | Column, largest: bool = True) -> DataFrame:
     """The rows with the largest (or smallest) value of each group, all ties."""
     value = F.col(value) if isinstance(value, str) else value

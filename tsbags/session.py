@@ -29,18 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """That of spark.checkpoint.dir. One of our own is set only where the session names none (tests, one machine)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spark-checkpoints"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the folder of spark.checkpoint.dir, and reads it.
 
-    A table takes a fraction of the disk of a checkpoint, whose rows aren't compressed. A folder of our own is set only
-    where the session names none (tests, one machine).
+    A table takes a fraction of the disk of a checkpoint, whose rows aren't compressed.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "spark-checkpoints")
-        )
-    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as a table in buckets of the keys, as many as shuffle partitions, each one file: what groups or joins by these
+    keys later finds the rows where they have to be, without an exchange. The table is external, in the same folder."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(number, *keys).write.bucketBy(number, *keys).sortBy(*keys)
+    dealt.option("path", f"{_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
