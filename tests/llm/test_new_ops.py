@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tsbags.llm import catalog, merkle, pieces, repair
+from tsbags.llm import catalog, merkle, pieces, repair, secret_scan
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -151,6 +151,22 @@ def test_boundaries_follow_from_the_model():
     assert split(model("a\n")) == ["\u2581ab.b\nab"]  # a line break may merge with what it stands before
 
 
+# ---- columns of the input
+
+
+def test_op1_leaves_own_columns_alone(spark):
+    """Names that the scan uses keep their values; those of its output are replaced, and come once."""
+    inner = ["_text", "_assign", "_access", "_hex", "_markov", "_gaps", "_hits", "_values", "Text2"]
+    replaced = ["n_assign", "N_hex", "n_access", "spans", "base_spans"]
+    docs = spark.createDataFrame([(1, "token = abcdef123456"), (2, None)], "doc_id long, body string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in inner + replaced])
+    got = secret_scan.scan(docs, secret_scan.train(docs.withColumnRenamed("body", "text")), "body")
+    assert got.columns == ["doc_id", "body", *inner, "n_assign", "n_access", "n_hex", "base_spans", "spans"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(rows[i][c] == f"{c}-{i}" for i in (1, 2) for c in inner)
+    assert (rows[1].body, rows[1].n_assign, rows[2].body, rows[2].n_assign) == ("token = abcdef123456", 1, None, 0)
+
+
 # ---- conversation repair
 
 

@@ -159,8 +159,11 @@ def ratio(token: Column, model: Markov) -> Column:
 
 def scan(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
     """Adds base_spans and spans: array<struct<start, kind_no, end, kind, value>>, by start, then kind."""
-    names = [c for c in docs.columns if c not in ("base_spans", "spans")]
-    based = with_base(docs.select(*names), text).withColumn(
+    counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}
+    # the input's columns under names that nothing here has
+    own = {c: f"own_column_{i}" for i, c in enumerate(docs.columns)}
+    names = [c for c in own if c.lower() not in ("base_spans", "spans", *counts)]
+    based = with_base(docs.withColumnsRenamed(own), own[text]).withColumn(
         "base_spans", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))
     )
     start = f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}"  # only starts of tokens are tried
@@ -174,7 +177,7 @@ def scan(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
         & (ratio(t["value"], model) >= F.lit(model.threshold)),
     )
     return found.withColumn("spans", F.array_sort(F.concat("base_spans", added))).select(
-        *names, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base_spans", "spans"
+        *[F.col(own[c]).alias(c) for c in names], *[n.alias(c) for c, n in counts.items()], "base_spans", "spans"
     )
 
 
