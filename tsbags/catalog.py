@@ -883,8 +883,8 @@ LENGTHS = {"low": 0.25, "step": 0.25}  # windows of a quarter, half, three quart
 
 
 def _split(spark, d):
-    rows = S.embedding_series(spark, d)
-    return rows.filter("series_id % 4 <> 0"), S.spread(rows.filter("series_id % 4 = 0"))
+    rows = S.spread(S.embedding_series(spark, d))
+    return rows.filter("series_id % 4 <> 0"), rows.filter("series_id % 4 = 0")
 
 
 @query()

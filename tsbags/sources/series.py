@@ -59,9 +59,11 @@ def wide(points: DataFrame) -> DataFrame:
 
 
 def spread(series: DataFrame) -> DataFrame:
-    """The same, dealt to as many tasks as there are cores where they are fewer: a few small files are heavy work here."""
-    cores = series.sparkSession.sparkContext.defaultParallelism
-    return series.repartition(cores, "series_id") if series.rdd.getNumPartitions() < cores else series
+    """The same, dealt to as many tasks as there are cores or shuffle partitions: for tables of few files, whose windows are
+    far more work than this exchange of the series."""
+    spark = series.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return series.repartition(tasks, "series_id")
 
 
 def zero_pad(series: DataFrame) -> DataFrame:
