@@ -402,6 +402,24 @@ def test_op4_finds_fuzzy_passages_near_the_threshold(spark, put_in):
     assert len({r.doc_id for r in got}) >= 97
 
 
+@pytest.mark.parametrize("block, part", [(200_000, 2_048), (60, 5)])
+def test_op4_finds_passages_of_common_phrases(spark, monkeypatch, block, part):
+    """Seeds that over SMALL texts share, in passages that only two of these hold: none of 60 pairs was to be missed."""
+    monkeypatch.setattr(chaining, "BLOCK", block)
+    monkeypatch.setattr(chaining, "PART", part)
+    rng, rows = random.Random(8), []
+    phrases = [passage(rng, 12) for _ in range(40)]
+    for i in range(60):
+        whole = [w for p in rng.sample(phrases, 5) for w in p]
+        gone = set(rng.sample(range(60), 9))
+        changed = [f"o{i}x{j}" if j in gone else w for j, w in enumerate(whole)]
+        rows += [(2 * i, " ".join(passage(rng, 30) + whole + passage(rng, 30))), (2 * i + 1, " ".join(passage(rng, 10) + changed + passage(rng, 40)))]
+    for k in range(300):
+        rows.append((1_000 + k, " ".join(w for p in rng.sample(phrases, 3) for w in passage(rng, 10) + p)))
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(2 * i, 2 * i + 1) for i in range(60)} <= {(r.partner_id, r.doc_id) for r in got}
+
+
 def test_op4_nothing(spark):
     assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
