@@ -420,6 +420,12 @@ def test_op4_finds_passages_of_common_phrases(spark, monkeypatch, block, part):
     assert {(2 * i, 2 * i + 1) for i in range(60)} <= {(r.partner_id, r.doc_id) for r in got}
 
 
+def test_op4_query_names_every_document(spark):
+    got = catalog.QUERIES["op4_collinear_chaining"](spark, SF).collect()
+    seen = {(r.doc_id, r.start, r.end, r.partner_id, r.partner_start, r.partner_end) for r in got}
+    assert got and all((r.partner_id, r.partner_start, r.partner_end, r.doc_id, r.start, r.end) in seen for r in got)
+
+
 def test_op4_nothing(spark):
     assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
