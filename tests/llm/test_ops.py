@@ -676,3 +676,68 @@ def test_op10_query_has_the_extra_conversation(spark):
     rows = {r.conv_id: r for r in catalog.QUERIES["op10_chat_format"](spark, SF).collect()}
     said = "</s>[INST] ok [/INST]"
     assert rows[-7].loss_chars == len(said) and rows[-7].loss_sha256 == brute.sha(said)
+
+
+@pytest.mark.parametrize("put_in", [0, 4])
+def test_op4_index_of_two_words_drops_no_passage(put_in):
+    """Rows with 16 common words: the index leaves out only pairs that alignment finds no passage in, and few
+    are left; so does the screen of pairs."""
+    rng = np.random.default_rng(5)
+    rows, common = [], rng.integers(0, 256, 16)
+    for k in range(400):
+        row = rng.integers(0, 256, 2 * chaining.LEAST + chaining.GRAM)
+        if k % 4 == 3:  # a changed copy of the row before
+            row = rows[-1].copy()
+            for n, at in enumerate(sorted(rng.choice(np.r_[30:45, 70:90], 7, replace=False).tolist(), reverse=True)):
+                row = np.insert(row, at, 7)[: len(row)] if n < put_in and at >= 70 else np.r_[row[:at], rng.integers(0, 256, 1), row[at + 1 :]]
+        row[45:61] = common
+        rows.append(row)
+    x = np.array(rows, dtype=np.int16)
+    every, need = np.arange(len(x)), (chaining.LEAST, chaining.IDENTITY)
+    found = np.concatenate(list(chaining.shared_pairs(x, every, every, *need)), axis=1)
+    left = {(u, v) for u, v in found.T.tolist() if u < v}
+    assert len(left) < len(x) * 4
+    pieces = [r.astype(np.uint8).tobytes() for r in x]
+    at = (chaining.LEAST, chaining.LEAST, chaining.GRAM)
+    wanted = {(k - 1, k) for k in range(3, 400, 4)}
+    some = wanted | {tuple(sorted(p)) for p in rng.integers(0, 400, (1_500, 2)).tolist() if p[0] != p[1]}
+    passing = {p for p in some if list(chaining.passages_of(pieces[p[0]], pieces[p[1]], [at], *need))}
+    assert len(passing) > 60 and passing <= left
+    u, v = np.array(sorted(some)).T
+    close = chaining.closeness(x[u], x[v], *need) > 0
+    assert passing <= set(zip(u[close].tolist(), v[close].tolist(), strict=True))
+    assert (chaining.may_be_close(*chaining.screened(x), u, v, need[1]) >= close).all()
+
+
+def test_op4_aligns_many_sides_as_one():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (300, chaining.LEAST)).astype(np.int16)
+    y = np.where(rng.random(x.shape) < 0.5, x, rng.integers(0, 6, x.shape)).astype(np.int16)
+    n, m = rng.integers(0, chaining.LEAST + 1, (2, 300))
+    x[np.arange(chaining.LEAST) >= n[:, None]] = -1
+    y[np.arange(chaining.LEAST) >= m[:, None]] = -1
+    for k, equal in enumerate(chaining.lined_up(x, y)):
+        one, many = chaining._sides(x[k, : n[k]], y[k, : m[k]]), chaining._side(equal, n[k], m[k])
+        assert all(np.array_equal(p, q) for p, q in zip(one, many, strict=True)), (n[k], m[k])
+
+
+@pytest.mark.parametrize("index_from", [0, 1 << 40])
+def test_op4_large_groups_in_time_that_does_not_grow_with_their_square(index_from, monkeypatch):
+    """Of 3,000 rows with 14 common words each in a text of its own, all but planted pairs differ. The words of few pairs are
+    compared (the square has 4.5 million); the same rows are connected without the index."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 256, (3_000 if index_from == 0 else 300, 2 * chaining.LEAST + chaining.GRAM))
+    x[:, 48:62] = np.arange(14)
+    planted = np.arange(0, len(x), 100)
+    x[planted + 1, 20:] = x[planted, 20:]
+    monkeypatch.setattr(chaining, "MANY", index_from)
+    compared, plain = [], chaining.closeness
+    monkeypatch.setattr(chaining, "closeness", lambda a, b, *more: compared.append(len(a)) or plain(a, b, *more))
+    n = len(x)
+    near = np.r_[1, np.zeros(n - 1, int)].astype(np.int8)
+    i, j = chaining.united(
+        np.zeros(n, int), np.arange(n), np.full(n, chaining.LEAST), [r.astype(np.uint8).tobytes() for r in x], near, np.ones(n, bool),
+        chaining.LEAST, chaining.IDENTITY,
+    )
+    pairs = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert pairs == {(k, k + 1) for k in planted.tolist()} and sum(compared) < 20 * n
