@@ -152,6 +152,56 @@ def test_sweep_holds_matrices_of_a_step(monkeypatch):
     assert all(len(v) == 900 for v in got.values()) and len(truth) == 18
 
 
+@pytest.mark.parametrize("subclasses_of", [1, 2])
+def test_stretches_without_a_word_equal_steps(monkeypatch, subclasses_of):
+    """Rare words: the sweep by stretches gives the counts of the one by steps and of plain loops, ties and series without
+    a word included, from any state, and looks at far fewer ranks than there are."""
+    rng = np.random.default_rng(21)
+    many, width, classes = 60, 4_000, 6
+    x = np.zeros((many, width), dtype=np.int64)
+    for row in x[:-3]:  # three series have no word
+        row[rng.integers(0, width, 12)] = rng.integers(1, 4, 12)
+    x[5], x[11] = x[4], x[10]  # equal series tie
+    y = np.arange(many) % classes
+    held = profiles.ClassCounts(np.stack([x[y == c].sum(axis=0) for c in range(classes)], axis=1), np.bincount(y))
+    block = profiles.Block.of(y, [np.flatnonzero(r) + 1 for r in x], [r[r > 0] for r in x], 1)
+    truth = np.arange(classes) // subclasses_of
+    looked = []
+    divide = profiles._before
+    monkeypatch.setattr(profiles, "_before", lambda a, b: looked.append(a.shape[1]) or divide(a, b))
+    for state in (np.zeros((many, 3 * classes + 1)), rng.random((many, 3 * classes + 1))):
+        steps = held.right_by_steps(block, truth, state.copy())
+        for room in (profiles.STEP, 60):
+            monkeypatch.setattr(profiles, "STEP", room)
+            got = held.right_by_stretches(block, truth, state.copy())
+            assert all(np.array_equal(got[k], steps[k]) for k in ("ed", "cos"))
+    assert sum(looked) / 2 / 4 < many * width  # two comparisons, four runs, two similarities
+    zero = np.zeros((many, 3 * classes + 1))
+    got = held.right(block, truth, zero)
+    small = profiles.ClassCounts(held.s[:200], held.n)
+    first = profiles.Block.of(y, [np.flatnonzero(r[:200]) + 1 for r in x], [r[:200][r[:200] > 0] for r in x], 1)
+    for i, sim in enumerate(("ed", "cos")):
+        naive = [naive_sweep(x[:, :200], y, j, classes) for j in range(many)]
+        want = [sum(truth[naive[j][w][i]] == truth[y[j]] for j in range(many)) for w in range(200)]
+        assert small.right_by_stretches(first, truth, zero)[sim].tolist() == want and got[sim][:200].tolist() == want
+
+
+def test_many_chunks_of_rare_words(spark, monkeypatch):
+    """Chunks whose width depends on the number of classes, with the first pass over them: as in one chunk."""
+    rng = np.random.default_rng(22)
+    cells = {(m, j, int(w)) for m in (0, 1) for j in range(40) for w in rng.integers(1, 700, 6)}
+    placed = spark.createDataFrame([(m, j, w, 1 + (j + w) % 3) for m, j, w in sorted(cells)], "method_id int, series_id long, rk int, cnt long")
+    cases = spark.createDataFrame([(2 * m + p, m, j, j % (4 if p else 2)) for m in (0, 1) for p in (0, 1) for j in range(40)], "case_id int, method_id int, series_id long, label int")
+    of = {c: {i: i % 2 for i in range(4 if c % 2 else 2)} for c in range(4)}
+    found = []
+    for chunk, cells_, rare in ((4_096, 800_000, 40), (4_096, 800_000, 1e9), (50, 400, 0), (50, 400, 40)):
+        for name, v in (("CHUNK", chunk), ("CELLS", cells_), ("RARE", rare)):
+            monkeypatch.setattr(profiles, name, v)
+        got = sweep_cases(placed, cases, of)
+        found.append((rows(got.best), rows(got.said)))
+    assert all(f == found[0] for f in found[1:])
+
+
 @pytest.mark.parametrize("kind", ["sax", "sla"])
 def test_lazy_filling_looks_at_few_windows(kind):
     rng = np.random.default_rng(4)
@@ -167,6 +217,21 @@ def test_lazy_filling_looks_at_few_windows(kind):
         assert runs.evaluated < share * exact.size
 
 
+def test_sampled_windows_of_matrices_are_those_of_pieces(spark):
+    """Lengths below, at and above the window; whole series as matrices give what single pieces give."""
+    rng = np.random.default_rng(5)
+    data = [(i, [float(v) for v in rng.normal(size=n)]) for i, n in enumerate((64, 64, 64, 40, 16, 15, 3, 1, 33))]
+    series = spark.createDataFrame(data, "series_id long, values array<double>").repartition(2)
+    configs = [grid.Config(0, "sla", 6, 16, 3, True), grid.Config(1, "sla", 8, 33, 3, True), grid.Config(2, "sax", 4, 16, 4)]
+    want = sorted(
+        (c.cfg_id, letter, float(v)) for _, values in data for c in configs
+        for window in grid.coefficients(np.array(values), c)[:: c.win] for letter, v in enumerate(window)
+    )
+    for points in (grid.POINTS, 1):  # 1: every series of more than four windows is cut
+        assert np.allclose(rows(grid.sampled_coeffs(series, configs, points)), want, atol=1e-9)
+    assert plan(grid.sampled_coeffs(series, configs)).count("MapInPandas") == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 16, 17, 40])
 def test_bags_of_a_matrix_are_those_of_its_series(n):
     rng = np.random.default_rng(n)
