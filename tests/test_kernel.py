@@ -63,6 +63,19 @@ def test_model_size_is_counted_before(models):
     assert bopf.kernel_of(models["hybrid"], said - 1) is None and bopf.kernel_of(models["hybrid"], said) is not None
 
 
+def test_driver_gets_arrays_not_rows_of_the_model(sets, models, monkeypatch):
+    """Weights come in pieces made by tasks, with labels and configurations that only some pieces have; none holds them all."""
+    model, test = models["hybrid"], sets[1]
+    monkeypatch.setattr(kernel, "PIECE", 200)
+    packed = kernel._packed(model.profile, kernel._held(model.profile))
+    whole = {key: n for key, (n, _) in kernel._held(model.profile).items()}
+    assert set(packed) == set(whole) and all(len(packed[k]) > 1 for k, n in whole.items() if n > 2_000)
+    assert sum(len(p[0]) for pieces in packed.values() for p in pieces) == model.profile.select(*kernel.KEY, "cfg_id", "word").distinct().count()
+    assert all(8 * n >= sum(p[3].nbytes for p in packed[k]) for k, n in whole.items())
+    monkeypatch.setattr(type(model.profile), "toPandas", None)  # a row of the model never reaches the driver
+    assert rows(kernel.score(bopf.kernel_of(model), test)) == rows(bopf.score_by_joins(model, test).select("variant", "series_id", "predicted"))
+
+
 def test_votes_tie_to_the_lowest_class():
     part = lambda classes: kernel.Part((0, "ed", "classes"), np.arange(len(classes)), np.zeros(0, dtype=np.int32), np.zeros((0, len(classes))), np.zeros(len(classes)), np.array(classes))
     held = kernel.Kernel([], {}, {}, {}, [part([5, 3]), part([3, 5]), part([9, 1])], {"a": [(0, 0.5), (1, 0.5)], "b": [(0, 0.0), (2, 0.0)], "c": [(0, 1.0), (1, 0.6), (2, 0.6)]})
