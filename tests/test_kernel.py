@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_operators import SERIES, naive_sweep, shapes
 
 from tsbags import catalog
-from tsbags.operators import discretize, grid, kernel, profiles, subclasses
+from tsbags.operators import discretize, ensemble, grid, kernel, profiles, subclasses
 from tsbags.plans import bopf, hybrid
 from tsbags.plans.common import sweep_cases
 from tsbags.streaming.scoring import score_stream
@@ -245,6 +245,21 @@ def test_sampled_windows_of_matrices_are_those_of_pieces(spark):
     assert plan(grid.sampled_coeffs(series, configs)).count("MapInPandas") == 2
 
 
+def test_prefix_votes_of_gathered_series_equal_joins(spark):
+    """Series that lack methods, repeated rows, an id with two classes, nulls, zero weights and ties: as by joins; and what is
+    shuffled has a row per series, whatever the groups."""
+    rng = np.random.default_rng(31)
+    said = [(int(s), int(s) % 3, "ed" if m % 2 else "cos", m, int(rng.integers(0, 4))) for s in range(50) for m in range(9) if (s + m) % 5]
+    said += said[:7] + [(50, 1, "ed", 1, None), (50, 1, "ed", 3, 2), (51, None, "ed", 1, 0), (3, 2, "cos", 2, 1), (52, 1, "ed", 1, None)]
+    said = spark.createDataFrame(said, "series_id long, own int, sim string, method_id int, predicted int").repartition(3)
+    chosen = [(f"v{v}", "ed" if m % 2 else "cos", m, (m * (v + 2)) % 11 + 1, 0.0 if v == 3 else 0.25 * (m % 3) if v else 1.0) for v in range(4) for m in range(9) if v != 1 or m % 2]
+    chosen = spark.createDataFrame(chosen, "variant string, sim string, method_id int, vote_order int, weight double")
+    want = rows(ensemble.prefix_votes(said.join(chosen, ["sim", "method_id"]), ["variant"]))
+    got = ensemble.prefix_votes_of(said, chosen, ["sim", "method_id"], ["variant"])
+    assert len(want) == 31 and rows(got) == want
+    assert plan(got).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2  # series, then sums
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 16, 17, 40])
 def test_bags_of_a_matrix_are_those_of_its_series(n):
     rng = np.random.default_rng(n)
