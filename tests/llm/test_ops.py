@@ -549,6 +549,23 @@ def test_op7_blocks_hold_groups_with_like_cells(monkeypatch):
     assert got[0] == got[2] and len(got[1]) == 3 and not {b for g in (0, 2, 3) for b in got[g]} & set(got[1])
 
 
+def test_first_floors_of_many_queries_take_little_memory():
+    """10,000 queries of one batch against 2,000 sampled vectors: the kth best score of each, and a bounded matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, sample = (rng.integers(-200, 200, (n, 8)).astype(np.float64) for n in (10_000, 2_000))
+    ids, sample_ids = np.arange(10_000), np.arange(0, 4_000, 2)
+    tracemalloc.start()
+    got = covertree.first_floors(x, ids, sample, sample_ids, 5)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all scores at once: 160 MB a matrix
+    tracemalloc.stop()
+    for i in (0, 1, 2, 499, 500, 3_998, 9_999):
+        scores = [int(x[i] @ s) for s, j in zip(sample, sample_ids, strict=True) if j != i]
+        assert got[i] == sorted(scores)[-5]
+    assert (covertree.first_floors(x[:3], ids[:3], sample[:4], sample_ids[:4], 5) == covertree.LOWEST).all()
+
+
 def test_op7_prunes_clustered_vectors():
     rng = np.random.default_rng(4)
     centers = rng.integers(-200, 200, (40, 4))
